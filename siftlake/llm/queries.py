@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.llm import decontaminate as dc
+from siftlake.llm import jaccard
 from siftlake.llm.shared import table
 
 
@@ -14,4 +15,8 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), dc.digest(F.col("items")).alias("items_sha256"), dc.is_contaminated(F.col("n_words"), F.col("n_hit")).alias("contaminated"))
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate}
+def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_components(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op10_jaccard_join": op10_jaccard_join}
