@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.llm import decontaminate as dc
-from siftlake.llm import jaccard
+from siftlake.llm import jaccard, langid, unigram
 from siftlake.llm.shared import table
 
 
@@ -19,4 +20,15 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op10_jaccard_join": op10_jaccard_join}
+def op5_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = unigram.encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"], digest=True)
+    return coded.select("row.doc_id", "n_tokens", "ids_crc32", "n_fallback", "score", F.coalesce("same", F.lit(True)).alias("round_trip"))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = langid.identify(docs, keep=["doc_id"])
+    return found.select("row.doc_id", (langid.fold(F.col("row.doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
+
+
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op5_unigram": op5_unigram, "op9_language": op9_language, "op10_jaccard_join": op10_jaccard_join}
