@@ -9,14 +9,15 @@ similarity is at least `threshold` percent.  Three passes over the texts:
 2. each set's prefix - a set that is to reach the threshold shares one of its
    first n - ceil(threshold * n) + 1 shingles - dealt out by shingle, packed;
    the texts that share a shingle make a group, equal groups count once;
-3. the shingles of the texts in groups.
+3. the shingles of the texts in candidate pairs, whose similarity is then exact.
 
 Inside a group a tree holds OR-combined bitmaps, size ranges and the largest
 number of shingles that share bits; pairs of nodes are followed from the roots
 down while their bitmaps and sizes allow the overlap that a link needs.  Pairs
-that already are in one component are skipped: first each text joins its largest
-group only, components follow, and only groups that still hold two components
-are joined in full.  Groups over GROUP texts are joined in pairs of blocks.
+that already are in one component are skipped: first each text meets, in its
+largest group only, a few texts that stand for the group; components follow, and
+only groups that still hold two components go through their tree in full.
+Groups over GROUP texts are taken in pairs of blocks.
 
 Null or empty texts have empty sets and link with nothing; equal texts and
 repeated rows link; rows of one id are one document; a row without an id keeps
@@ -35,7 +36,7 @@ from siftlake.llm.components import components
 from siftlake.llm.text import NONSPACE, Lookup, Words, distinct_sets, mix, shingles, slices, utf8
 
 SIZE, THRESHOLD = 5, 75
-FREQUENT, GROUP, PIVOTS, FANOUT = 1 << 20, 2048, 6, 8
+FREQUENT, GROUP, PIVOTS, FANOUT, MOST_BITS = 1 << 20, 2048, 6, 8, 1 << 17
 FLUSH = 4_000_000
 SLOTS = 26
 _SECOND = np.uint64(0x2545F4914F6CDD1D)
@@ -66,12 +67,12 @@ def _unseen(h1, h2, n, seen: set) -> np.ndarray:
     return out
 
 
-_FIRST = "id long, n long, h1 long, h2 long, bucket int, keys binary, values binary"
+_FIRST = "id long, n long, h1 long, h2 long, sign binary, bucket int, keys binary, values binary"
 
 
 def _first_pass(docs: DataFrame, size: int, buckets: int) -> DataFrame:
     names = [x.split()[0] for x in _FIRST.split(",")]
-    types = [pa.int64()] * 4 + [pa.int32(), pa.binary(), pa.binary()]
+    types = [pa.int64()] * 4 + [pa.binary(), pa.int32(), pa.binary(), pa.binary()]
 
     def flush(kept):
         keys, n = shared.counts_of(np.concatenate(kept))
@@ -79,7 +80,7 @@ def _first_pass(docs: DataFrame, size: int, buckets: int) -> DataFrame:
         rows = list(shared.bucketed(keys, n.astype(np.int64), buckets))
         if rows:
             b, k, v = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(b), t) for t in types[:4]] + [pa.array(b, types[4]), pa.array(k, types[5]), pa.array(v, types[6])], names)
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(b), t) for t in types[:5]] + [pa.array(b, types[5]), pa.array(k, types[6]), pa.array(v, types[7])], names)
 
     def run(batches):
         seen: set = set()
@@ -92,7 +93,7 @@ def _first_pass(docs: DataFrame, size: int, buckets: int) -> DataFrame:
                 new = np.repeat(_unseen(h1, h2, n, seen), n)
                 kept.append(value[new])
                 held += int(new.sum())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), *(pa.nulls(len(n), t) for t in types[4:])], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(signatures(value, edge), pa.binary()), *(pa.nulls(len(n), t) for t in types[5:])], names)
                 if held > FLUSH:
                     yield from flush(kept)
                     kept, held, seen = [], 0, set()
@@ -207,7 +208,8 @@ def _groups(docs: DataFrame, size: int, threshold: int, keys: np.ndarray, n: np.
 def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     """(id, tokens) of the documents whose id may be among ids: a bitmap of a fixed size says which."""
     slot = F.pmod("id", F.lit(1 << SLOTS))
-    bits = ids.select(F.floor(slot / 64).cast("int").alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int")).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), (slot % 64).cast("int"))
+    bits = ids.select(F.floor(slot / 64).cast("int").alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits")).toArrow()
     bitmap = np.zeros((1 << SLOTS) // 64, np.uint64)
     bitmap[bits["word"].to_numpy()] = bits["bits"].to_numpy().view(np.uint64)
     shared_bitmap = docs.sparkSession.sparkContext.broadcast(bitmap)
@@ -223,16 +225,28 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
     return docs.mapInArrow(run, "id long, tokens binary")
 
 
+def signatures(value: np.ndarray, edge: np.ndarray) -> list[bytes]:
+    """A bitmap of each set: a power of two of bits, at least four for each shingle."""
+    n = np.diff(edge)
+    out = []
+    for a, b, m in zip(edge[:-1].tolist(), edge[1:].tolist(), n.tolist(), strict=True):
+        bits = np.zeros(min(MOST_BITS, max(64, 1 << int(4 * m - 1).bit_length())) if m else 64, np.uint8)
+        bits[(value[a:b] & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
+        out.append(np.packbits(bits, bitorder="little").tobytes())
+    return out
+
+
+def fold(sign: np.ndarray, words: int) -> np.ndarray:
+    """Bitmaps (rows of 64-bit words) of a smaller power of two of words."""
+    while sign.shape[1] > words:
+        sign = sign[:, : sign.shape[1] // 2] | sign[:, sign.shape[1] // 2 :]
+    return sign
+
+
 class Tree:
     """Levels of nodes over sets sorted by size: bitmaps OR-combined, size ranges, shared bits, components."""
 
-    def __init__(self, flat: np.ndarray, edge: np.ndarray, component: np.ndarray):
-        n = np.diff(edge)
-        bits = 1 << int(np.clip(int(4 * max(1, np.median(n))).bit_length(), 9, 13))
-        m = len(n)
-        sign = np.zeros((m, bits), bool)
-        sign[np.repeat(np.arange(m), n), (flat >> np.uint64(64 - int(np.log2(bits)))).astype(np.int64)] = True
-        sign = np.packbits(sign, axis=1).view(np.uint64)
+    def __init__(self, sign: np.ndarray, n: np.ndarray, component: np.ndarray):
         spare = n - np.bitwise_count(sign).sum(1, dtype=np.int64)
         self.levels = [(sign, n, n, spare, component)]
         while len(self.levels[-1][1]) > FANOUT:
@@ -270,49 +284,42 @@ class Tree:
                 todo.append((level - 1, x[good], y[good]))
 
 
-def link(ids: np.ndarray, tokens: list[np.ndarray], component: np.ndarray, threshold: int) -> list[tuple[int, int]]:
-    """Links that join the components of a group's sets; of links inside a component some only."""
-    n = np.array([len(t) for t in tokens])
-    first = np.array([t[0] if len(t) else 0 for t in tokens], np.uint64)
-    order = np.lexsort((first, n))
-    ids, tokens, component, n = ids[order], [tokens[i] for i in order], component[order], n[order]
-    _, root = np.unique(component, return_inverse=True)
-    root = root.astype(np.int64)
-    flat, edge = np.concatenate(tokens), np.concatenate(([0], np.cumsum(n)))
-    links = []
-
-    def linked(common, x, y):
-        return 100 * common >= threshold * (x + y - common)
-
-    used: set[int] = set()
-    for _ in range(PIVOTS if len(ids) > 2 else 1):
-        rest = [i for i in range(len(ids)) if root[i] not in used] if used else [0]
-        if not rest or (root == root[0]).all():
-            break
-        p = rest[0]
-        own = tokens[p]
-        at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
-        run = np.concatenate(([0], np.cumsum(own[at] == flat)))
-        for i in np.flatnonzero(linked(run[edge[1:]] - run[edge[:-1]], n, n[p]) & (root != root[p])):
-            if root[i] != root[p]:
-                links.append((int(ids[p]), int(ids[i])))
-                root[root == root[i]] = root[p]
-        used.add(int(root[p]))
-    if len(ids) <= 2 or (root == root[0]).all():
-        return links
-    for a, b in Tree(flat, edge, root).pairs(threshold):
-        for i, j in zip(a.tolist(), b.tolist(), strict=True):
-            if root[i] != root[j]:
-                x, y = tokens[i], tokens[j]
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                if linked(int((y[at] == x).sum()), len(x), len(y)):
-                    links.append((int(ids[i]), int(ids[j])))
-                    root[root == root[j]] = root[i]
-    return links
+def candidates(ids: np.ndarray, n: np.ndarray, sign: list[bytes], component: np.ndarray, threshold: int, full: bool) -> list[tuple[int, int]]:
+    """Pairs of a group that bitmaps and sizes allow to link and that no component joins yet.
+
+    full: all of them; else for each set at most one, with one of the first few sets that stand for the group.
+    Sizes that can link differ by at most a third, so bitmaps' widths by a factor of two: trees hold two neighbouring widths.
+    """
+    order = np.lexsort((ids, n))
+    ids, n, component, sign = ids[order], n[order], component[order], [sign[i] for i in order]
+    width = np.array([len(x) // 8 for x in sign])
+    out = []
+    for w in np.unique(width).tolist():
+        own = np.flatnonzero((width == w) | (width == 2 * w))
+        if len(own) < 2:
+            continue
+        bitmaps = np.stack([fold(np.frombuffer(sign[i], np.uint64)[None, :], w)[0] for i in own])
+        m = n[own]
+        if full:
+            for a, b in Tree(bitmaps, m, component[own]).pairs(threshold):
+                out += zip(ids[own[a]].tolist(), ids[own[b]].tolist(), strict=True)
+            continue
+        spare = m - np.bitwise_count(bitmaps).sum(1, dtype=np.int64)
+        rest = np.arange(len(own))
+        for _ in range(PIVOTS):
+            if len(rest) < 2:
+                break
+            p, others = rest[0], rest[1:]
+            most = np.bitwise_count(bitmaps[others] & bitmaps[p]).sum(1, dtype=np.int64) + np.minimum(spare[others], spare[p])
+            most = np.minimum(most, np.minimum(m[others], m[p]))
+            good = ((100 + threshold) * most >= threshold * (m[others] + m[p])) & (component[own[others]] != component[own[p]])
+            out += [(int(ids[own[p]]), int(ids[own[i]])) for i in others[good].tolist()]
+            rest = others[~good]
+    return out
 
 
-def _links(members: DataFrame, sets: DataFrame, threshold: int, full: bool) -> DataFrame:
-    """(a, b): links inside groups; members (gid, id, size, component). Large groups: blocks, or pairs of blocks if full."""
+def _candidates(members: DataFrame, signs: DataFrame, threshold: int, full: bool) -> DataFrame:
+    """(a, b): members (gid, id, size, component). Large groups: blocks, or pairs of blocks if full."""
     blocks = F.ceil(F.col("size") / F.lit(GROUP)).cast("int")
     block = F.pmod(F.xxhash64("id"), blocks.cast("long")).cast("int")
     keyed = members.withColumn("blocks", blocks).withColumn("block", block)
@@ -321,27 +328,49 @@ def _links(members: DataFrame, sets: DataFrame, threshold: int, full: bool) -> D
         keyed = keyed.withColumn("other", other).withColumn("gid", F.xxhash64("gid", F.least("block", "other"), F.greatest("block", "other")))
     else:
         keyed = keyed.withColumn("gid", F.xxhash64("gid", "block"))
-    joined = keyed.select("gid", "id", "component").join(sets, "id")
+    joined = keyed.select("gid", "id", "component").join(signs, "id")
     dealt = joined.repartition(shared.partitions(members.sparkSession), "gid").sortWithinPartitions("gid")
 
     def run(batches):
         def done(rows):
-            found = link(np.array([r[0] for r in rows]), [shared.unpack(r[2], np.uint64) for r in rows], np.array([r[1] for r in rows]), threshold) if len(rows) > 1 else []
+            i, c, n, s = zip(*rows, strict=True)
+            found = candidates(np.array(i), np.array(n), list(s), np.array(c), threshold, full)
             a, b = zip(*found, strict=True) if found else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
         now, rows = None, []
         for batch in batches:
-            for gid, i, c, t in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            for gid, *row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 if gid != now:
                     if len(rows) > 1:
                         yield done(rows)
                     now, rows = gid, []
-                rows.append((i, c, t))
+                rows.append(row)
         if len(rows) > 1:
             yield done(rows)
 
-    return dealt.select("gid", "id", "component", "tokens").mapInArrow(run, "a long, b long")
+    found = dealt.select("gid", "id", "component", "n", "sign").mapInArrow(run, "a long, b long")
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _verified(docs: DataFrame, pairs: DataFrame, size: int, threshold: int) -> DataFrame:
+    """Those of the pairs whose sets' similarity reaches the threshold."""
+    sets = shared.written(_sets(docs, pairs.select(F.explode(F.array("a", "b")).alias("id")), size), "tokens")
+    left = sets.select(F.col("id").alias("a"), F.col("tokens").alias("ta"))
+    right = sets.select(F.col("id").alias("b"), F.col("tokens").alias("tb"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", "ta", "tb")
+
+    def run(batches):
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = shared.unpack(x, np.uint64), shared.unpack(y, np.uint64)
+                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+                common = int((y[at] == x).sum())
+                good.append(100 * common >= threshold * (len(x) + len(y) - common))
+            yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(good, pa.bool_()))
+
+    return shared.written(both.mapInArrow(run, "a long, b long"), "verified")
 
 
 def jaccard_components(docs: DataFrame, text: str = "text", id: str = "doc_id", size: int = SIZE, threshold: int = THRESHOLD) -> DataFrame:
@@ -357,16 +386,17 @@ def jaccard_components(docs: DataFrame, text: str = "text", id: str = "doc_id",
     keys, often = _frequent(first.where("bucket is not null").select("bucket", "keys", "values"), buckets, FREQUENT)
     known = given.where("id is not null")
     groups = shared.written(_groups(known, size, threshold, keys, often, buckets), "groups")
-    sets = shared.written(_sets(known, groups.select("id"), size), "tokens")
+    signs = first.where("bucket is null and id is not null").select("id", "n", "sign")
 
     largest = groups.groupBy("id").agg(F.max(F.struct("size", "gid")).alias("g")).select("g.gid", "id", "g.size", F.col("id").alias("component"))
-    found = _links(largest, sets, threshold, full=False)
-    labels = components(copies.union(found))
+    pairs = shared.written(_candidates(largest, signs, threshold, full=False), "pairs")
+    labels = components(copies.union(_verified(known, pairs, size, threshold)))
 
     placed = shared.written(groups.join(labels, "id", "left").select("gid", "id", "size", F.coalesce("component", "id").alias("component")), "placed")
     open_groups = placed.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("gid")
     rest = placed.join(shared.written(open_groups, "open"), "gid")
-    more = shared.written(_links(rest, sets, threshold, full=True), "links")
+    pairs = shared.written(_candidates(rest, signs, threshold, full=True), "pairs")
+    more = _verified(known, pairs, size, threshold)
     if not more.isEmpty():
         at = labels.select(F.col("id").alias("a"), F.col("component").alias("ca"))
         bt = labels.select(F.col("id").alias("b"), F.col("component").alias("cb"))
