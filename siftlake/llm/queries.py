@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.llm import decontaminate as dc
-from siftlake.llm import jaccard, langid, unigram
+from siftlake.llm import jaccard, langid, tokenpack, unigram, warc
 from siftlake.llm.shared import table
 
 
@@ -25,10 +25,20 @@ def op5_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("row.doc_id", "n_tokens", "ids_crc32", "n_fallback", "score", F.coalesce("same", F.lit(True)).alias("round_trip"))
 
 
+def op7_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = tokenpack.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return tokenpack.read_ids(spark, files)
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.normalise_archives(warc.write_archives(table(spark, sf_dir, "pages")))
+    return warc.read_archives(archives).drop("url")
+
+
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = langid.identify(docs, keep=["doc_id"])
     return found.select("row.doc_id", (langid.fold(F.col("row.doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op5_unigram": op5_unigram, "op9_language": op9_language, "op10_jaccard_join": op10_jaccard_join}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op5_unigram": op5_unigram, "op7_packed_ids": op7_packed_ids, "op8_warc": op8_warc, "op9_language": op9_language, "op10_jaccard_join": op10_jaccard_join}
