@@ -21,6 +21,8 @@ import re
 import struct
 import uuid
 import zlib
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -162,12 +164,15 @@ class Encoder:
     A text where a space stands before white space or the end is encoded whole.
     """
 
-    def __init__(self, path: str, most: int = 1 << 25):
+    def __init__(self, path: str, most: int = 1 << 24):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
         self.vocabulary = self.tokenizer.get_vocab_size()
+        self.size = np.zeros(self.vocabulary, np.int64)  # bytes of each token: its string has a character for each
+        for token, i in self.tokenizer.get_vocab().items():
+            self.size[i] = len(token)
         self._clear()
 
     def _clear(self) -> None:
@@ -176,14 +181,36 @@ class Encoder:
         self.pool, self.first, self.count, self.chars = [], [], [], 0
 
     def _learn(self) -> None:
+        """Encodes the new chunks: those that begin with a space as runs of text, cut at the chunks' edges."""
         new, self.memo.new = self.memo.new, []
         self.chars += sum(map(len, new))
         at = sum(map(len, self.pool))
-        got = [e.ids for e in self.tokenizer.encode_batch(new, add_special_tokens=False)] if new else []
-        n = np.fromiter(map(len, got), np.int64, len(got))
-        self.count.append(n)
-        self.first.append(at + np.cumsum(n) - n)
-        self.pool.append(np.fromiter((i for x in got for i in x), np.uint32, int(n.sum())))
+        spaced = [c for c in new if c[0] == " "]
+        order = [i for i, c in enumerate(new) if c[0] == " "] + [i for i, c in enumerate(new) if c[0] != " "]
+        runs = [spaced[i : i + 1000] for i in range(0, len(spaced), 1000)]
+        rest = [c for c in new if c[0] != " "]
+        ids, n = [], []
+        for run, e in zip(runs, self.tokenizer.encode_batch_fast(["".join(r) for r in runs], add_special_tokens=False), strict=True):
+            got = np.array(e.ids, np.uint32)
+            stop = np.cumsum(self.size[got])
+            edge = np.cumsum([len(c.encode()) for c in run])
+            cut = np.searchsorted(stop, edge)
+            if len(stop) and stop[-1] == edge[-1] and (stop[cut] == edge).all():
+                ids.append(got)
+                n.append(np.diff(np.concatenate(([0], cut + 1))))
+            else:
+                each = [x.ids for x in self.tokenizer.encode_batch_fast(run, add_special_tokens=False)]
+                ids.append(np.fromiter(chain.from_iterable(each), np.uint32))
+                n.append(np.fromiter(map(len, each), np.int64, len(each)))
+        each = [x.ids for x in self.tokenizer.encode_batch_fast(rest, add_special_tokens=False)] if rest else []
+        ids.append(np.fromiter(chain.from_iterable(each), np.uint32))
+        n.append(np.fromiter(map(len, each), np.int64, len(each)))
+        n = np.concatenate(n).astype(np.int64)
+        first, count = np.empty(len(new), np.int64), np.empty(len(new), np.int64)
+        first[order], count[order] = at + np.cumsum(n) - n, n
+        self.pool.append(np.concatenate(ids))
+        self.first.append(first)
+        self.count.append(count)
         if len(self.pool) > 1:
             self.pool, self.first, self.count = [np.concatenate(self.pool)], [np.concatenate(self.first)], [np.concatenate(self.count)]
 
@@ -215,7 +242,7 @@ class Encoder:
         ids = pool[ragged(first[code], n)]
         edge = np.concatenate(([0], np.cumsum(n)))[np.concatenate(([0], np.cumsum(sizes)))]
         if whole or end is not None:
-            direct = dict(zip(whole, (np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch([texts[k] for k in whole], add_special_tokens=False)), strict=True)) if whole else {}
+            direct = dict(zip(whole, (np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast([texts[k] for k in whole], add_special_tokens=False)), strict=True)) if whole else {}
             tail = np.array([] if end is None else [end], np.uint32)
             parts = [np.concatenate((direct[k] if k in direct else ids[edge[k] : edge[k + 1]], tail)) for k in range(len(texts))]
             edge = np.concatenate(([0], np.cumsum([len(p) for p in parts]))).astype(np.int64)
@@ -223,6 +250,12 @@ class Encoder:
         return ids, edge
 
 
+@lru_cache(maxsize=1)
+def encoder(path: str) -> Encoder:
+    """One for each worker, which keeps what it has learned."""
+    return Encoder(path)
+
+
 _MANIFEST = "part int, seq int, uri string, n_docs long, n_ids long"
 
 
@@ -236,7 +269,7 @@ def write_ids(docs: DataFrame, tokenizer: str, text: str = "text", id: str = "do
     def run(batches):
         from pyspark import TaskContext
 
-        part, seq, writer, encoder = TaskContext.get().partitionId(), 0, None, None
+        part, seq, writer, coder = TaskContext.get().partitionId(), 0, None, encoder(tokenizer)
 
         def done():
             writer.close()
@@ -244,9 +277,8 @@ def write_ids(docs: DataFrame, tokenizer: str, text: str = "text", id: str = "do
 
         for batch in batches:
             for piece in slices(batch, "text", 4 << 20):
-                encoder = encoder or Encoder(tokenizer)
-                writer = writer or Writer(f"{to}/{part:06d}-{seq:04d}-{uuid.uuid4().hex}.ids", encoder.vocabulary, block)
-                ids, edge = encoder.encode(piece.column(1).to_pylist(), end)
+                writer = writer or Writer(f"{to}/{part:06d}-{seq:04d}-{uuid.uuid4().hex}.ids", coder.vocabulary, block)
+                ids, edge = coder.encode(piece.column(1).to_pylist(), end)
                 writer.add(piece.column(0).to_pylist(), edge, ids)
                 if writer.n_ids >= file_ids:
                     yield done()
