@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.llm import decontaminate as dc
-from siftlake.llm import jaccard, langid, tokenpack, unigram, warc
+from siftlake.llm import jaccard, langid, licenses, multiset, tokenpack, unigram, warc
 from siftlake.llm.shared import table
 
 
@@ -20,6 +20,20 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
+def op3_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = multiset.with_next(table(spark, sf_dir, "documents"))
+    rows = rows.withColumn("edited", F.expr(multiset.edited("text", "next_text")))
+    rows = rows.select("id", F.char_length("text").cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "fp", "next_fp", F.expr(multiset.fingerprint("edited")).alias("edited_fp"))
+    like = multiset.likenesses("fp", {"near_edited": "edited_fp", "near_next": "next_fp"})
+    rows = rows.select("id", "n_chars", "edited_sha256", F.expr(multiset.printed("fp")).alias("fingerprint"), F.expr(multiset.printed("edited_fp")).alias("edited_fingerprint"), F.expr(like).alias("like"))
+    return rows.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "like.near_edited", "like.near_next")
+
+
+def op4_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return found.select("row.doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
 def op5_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = unigram.encode_texts(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), keep=["doc_id"], digest=True)
     return coded.select("row.doc_id", "n_tokens", "ids_crc32", "n_fallback", "score", F.coalesce("same", F.lit(True)).alias("round_trip"))
@@ -41,4 +55,4 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", (langid.fold(F.col("row.doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op5_unigram": op5_unigram, "op7_packed_ids": op7_packed_ids, "op8_warc": op8_warc, "op9_language": op9_language, "op10_jaccard_join": op10_jaccard_join}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op3_multiset_hash": op3_multiset_hash, "op4_licenses": op4_licenses, "op5_unigram": op5_unigram, "op7_packed_ids": op7_packed_ids, "op8_warc": op8_warc, "op9_language": op9_language, "op10_jaccard_join": op10_jaccard_join}

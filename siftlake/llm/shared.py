@@ -93,7 +93,7 @@ def deal(df: DataFrame, column: str = "bucket") -> DataFrame:
 def annotate(df: DataFrame, text: str, function: Callable[[pa.Array], list[pa.Array]], schema: str, keep: list[str] | None = None, limit: int = 1 << 20) -> DataFrame:
     """Columns (row, *schema): row is a struct of the kept columns, so that no name of the input can clash.
 
-    function gets runs of about `limit` bytes of whole texts and returns one array for each column of the schema.
+    A comma inside a type of the schema is written as \\x1f.  function gets runs of about `limit` bytes of whole texts and returns one array for each column of the schema.
     """
     from siftlake.llm.text import slices
 
@@ -101,7 +101,7 @@ def annotate(df: DataFrame, text: str, function: Callable[[pa.Array], list[pa.Ar
     kept = df.select(*[df[c].alias(f"k{i}") for i, c in enumerate(keep)])
     given = df.select(*[df[c].alias(f"k{i}") for i, c in enumerate(keep)], df[text].cast("string").alias("t"))
     names = [x.split()[0] for x in schema.split(",")] if schema else []
-    out_schema = ", ".join([*(f"k{i} {t}" for i, (_, t) in enumerate(kept.dtypes)), *(f"r{i} {x.split(None, 1)[1]}" for i, x in enumerate(y.strip() for y in schema.split(",")))])
+    out_schema = ", ".join([*(f"k{i} {t}" for i, (_, t) in enumerate(kept.dtypes)), *(f"r{i} {x.split(None, 1)[1]}" for i, x in enumerate(y.strip() for y in schema.split(",")))]).replace("\x1f", ", ")
     n = len(keep)
 
     def run(batches):
