@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.llm import decontaminate as dc
-from siftlake.llm import jaccard, langid, licenses, multiset, tokenpack, unigram, warc
+from siftlake.llm import jaccard, langid, licenses, multiset, ppm, preference, tokenpack, unigram, warc
 from siftlake.llm.shared import table
 
 
@@ -20,6 +20,12 @@ def op10_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_components(table(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
 
 
+def op2_ppm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = ppm.score(docs, docs.where(langid.fold(docs["doc_id"], 5) != 1))
+    return found.select(F.col("id").alias("doc_id"), (langid.fold(F.col("id"), 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op3_multiset_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = multiset.with_next(table(spark, sf_dir, "documents"))
     rows = rows.withColumn("edited", F.expr(multiset.edited("text", "next_text")))
@@ -39,6 +45,12 @@ def op5_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("row.doc_id", "n_tokens", "ids_crc32", "n_fallback", "score", F.coalesce("same", F.lit(True)).alias("round_trip"))
 
 
+def op6_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations")
+    rows = preference.format_pairs(turns, F.floor(turns["conv_id"] / 2), turns["conv_id"] % 2 == 1)
+    return rows.select(F.col("pair").alias("pair_id"), "n_prompt_turns", "prompt", "chosen", "rejected", preference.printed("chosen_mask").alias("chosen_mask"), preference.printed("rejected_mask").alias("rejected_mask"))
+
+
 def op7_packed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = tokenpack.write_ids(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
     return tokenpack.read_ids(spark, files)
@@ -55,4 +67,4 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("row.doc_id", (langid.fold(F.col("row.doc_id"), 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
-QUERIES = {"op1_decontaminate": op1_decontaminate, "op3_multiset_hash": op3_multiset_hash, "op4_licenses": op4_licenses, "op5_unigram": op5_unigram, "op7_packed_ids": op7_packed_ids, "op8_warc": op8_warc, "op9_language": op9_language, "op10_jaccard_join": op10_jaccard_join}
+QUERIES = {"op1_decontaminate": op1_decontaminate, "op2_ppm": op2_ppm, "op3_multiset_hash": op3_multiset_hash, "op4_licenses": op4_licenses, "op5_unigram": op5_unigram, "op6_preference": op6_preference, "op7_packed_ids": op7_packed_ids, "op8_warc": op8_warc, "op9_language": op9_language, "op10_jaccard_join": op10_jaccard_join}
