@@ -24,11 +24,11 @@ sides AS (SELECT pair_id, max(CASE WHEN side = 0 THEN i END) AS nc, max(CASE WHE
 same AS (SELECT a.pair_id, a.i FROM t a JOIN t b ON a.pair_id = b.pair_id AND a.i = b.i AND a.side = 0 AND b.side = 1 AND a.role = b.role AND a.text = b.text),
 runs AS (SELECT pair_id, count(*) AS n FROM (SELECT pair_id, i, row_number() OVER (PARTITION BY pair_id ORDER BY i) AS k FROM same) WHERE i = k GROUP BY pair_id),
 r AS (SELECT t.*, coalesce(n, 0) AS n, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS s FROM t LEFT JOIN runs USING (pair_id)),
-p AS (SELECT *, coalesce(sum(length(s)) OVER (PARTITION BY pair_id, side, i > n ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at FROM r),
+p AS (SELECT *, coalesce(sum(length(s)) OVER (PARTITION BY pair_id, side, i > n ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS pos FROM r),
 o AS (SELECT pair_id, max(n) AS n, string_agg(CASE WHEN side = 0 AND i <= n THEN s END, '' ORDER BY i) AS prompt,
  string_agg(CASE WHEN side = 0 AND i > n THEN s END, '' ORDER BY i) AS chosen, string_agg(CASE WHEN side = 1 AND i > n THEN s END, '' ORDER BY i) AS rejected,
- string_agg(CASE WHEN side = 0 AND i > n AND role = 'assistant' THEN CAST(CAST(at AS BIGINT) + length(role) + 5 AS VARCHAR) || '-' || CAST(CAST(at AS BIGINT) + length(role) + 12 + length(text) AS VARCHAR) END, ',' ORDER BY i) AS cm,
- string_agg(CASE WHEN side = 1 AND i > n AND role = 'assistant' THEN CAST(CAST(at AS BIGINT) + length(role) + 5 AS VARCHAR) || '-' || CAST(CAST(at AS BIGINT) + length(role) + 12 + length(text) AS VARCHAR) END, ',' ORDER BY i) AS rm FROM p GROUP BY pair_id)
+ string_agg(CASE WHEN side = 0 AND i > n AND role = 'assistant' THEN CAST(CAST(pos AS BIGINT) + length(role) + 5 AS VARCHAR) || '-' || CAST(CAST(pos AS BIGINT) + length(role) + 12 + length(text) AS VARCHAR) END, ',' ORDER BY i) AS cm,
+ string_agg(CASE WHEN side = 1 AND i > n AND role = 'assistant' THEN CAST(CAST(pos AS BIGINT) + length(role) + 5 AS VARCHAR) || '-' || CAST(CAST(pos AS BIGINT) + length(role) + 12 + length(text) AS VARCHAR) END, ',' ORDER BY i) AS rm FROM p GROUP BY pair_id)
 SELECT o.pair_id, CAST(o.n AS BIGINT) AS n_prompt_turns, coalesce(prompt, '') AS prompt,
 CASE WHEN nc IS NULL THEN NULL ELSE coalesce(chosen, '') END AS chosen, CASE WHEN nr IS NULL THEN NULL ELSE coalesce(rejected, '') END AS rejected,
 CASE WHEN nc IS NULL THEN NULL ELSE coalesce(cm, '') END AS chosen_mask, CASE WHEN nr IS NULL THEN NULL ELSE coalesce(rm, '') END AS rejected_mask

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from siftlake.llm import shared
 from siftlake.llm.text import NONSPACE, U64, Lookup, Words, ragged, slices, utf8
 
-ORDER, SHARD, HOT, FLUSH, END = 4, 1 << 22, 1 << 20, 4_000_000, 0xFF
+ORDER, SHARD, HOT, FLUSH, END = 5, 6 << 20, 1 << 20, 4_000_000, 0xFF
 _END_WORD = np.uint64(0x9B97_5C1E_31A7_F00D)  # stands for the hash of the end token
 
 

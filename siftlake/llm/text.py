@@ -147,20 +147,16 @@ class Lookup:
     """A map from distinct 64-bit keys to positions, probed with whole arrays."""
 
     def __init__(self, keys: np.ndarray):
+        self.keys = keys if len(keys) else np.zeros(1, U64)
         self.bits = max(4, int(len(keys) * 2).bit_length())
-        size = 1 << self.bits
-        self.key = np.zeros(size, U64)
-        self.at = np.full(size, -1, np.int32)
-        self.probes = 0
+        self.at = np.full(1 << self.bits, -1, np.int32)
         todo = np.arange(len(keys), dtype=np.int32)
         slot = self._slot(keys)
         while len(todo):
-            self.probes += 1
             free = self.at[slot] < 0
             self.at[slot[free]] = todo[free]
-            self.key[slot[free]] = keys[todo[free]]
             lost = self.at[slot] != todo
-            todo, slot = todo[lost], (slot[lost] + 1) & (size - 1)
+            todo, slot = todo[lost], (slot[lost] + 1) & ((1 << self.bits) - 1)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         with np.errstate(over="ignore"):
@@ -170,13 +166,13 @@ class Lookup:
         """Positions of the keys among those given at first, or -1."""
         slot = self._slot(keys)
         out = self.at[slot]
-        rest = np.flatnonzero((out >= 0) & (self.key[slot] != keys))
+        rest = np.flatnonzero((out >= 0) & (self.keys[out] != keys))
         slot = slot[rest]
         while len(rest):
             slot = (slot + 1) & ((1 << self.bits) - 1)
             at = self.at[slot]
             out[rest] = at
-            more = (at >= 0) & (self.key[slot] != keys[rest])
+            more = (at >= 0) & (self.keys[at] != keys[rest])
             rest, slot = rest[more], slot[more]
         return out
 
