@@ -14,9 +14,9 @@ similarity is at least `threshold` percent.  Three passes over the texts:
 Inside a group a tree holds OR-combined bitmaps, size ranges and the largest
 number of shingles that share bits; pairs of nodes are followed from the roots
 down while their bitmaps and sizes allow the overlap that a link needs.  Pairs
-that already are in one component are skipped: first each text meets, in its
-largest group only, a few texts that stand for the group; components follow, and
-only groups that still hold two components go through their tree in full.
+that already are in one component are skipped: for a few turns each text meets,
+in one of its groups, a few texts that stand for the group, and components
+follow; only groups that still hold two components go through their tree.
 Groups over GROUP texts are taken in pairs of blocks.
 
 Null or empty texts have empty sets and link with nothing; equal texts and
@@ -36,7 +36,7 @@ from siftlake.llm.components import components
 from siftlake.llm.text import NONSPACE, Lookup, Words, distinct_sets, mix, shingles, slices, utf8
 
 SIZE, THRESHOLD = 5, 75
-FREQUENT, GROUP, PIVOTS, FANOUT, MOST_BITS = 1 << 20, 2048, 6, 8, 1 << 17
+FREQUENT, GROUP, PIVOTS, TRIES, TURNS, FANOUT, MOST_BITS = 1 << 20, 2048, 24, 6, 3, 8, 1 << 17
 FLUSH = 4_000_000
 SLOTS = 26
 _SECOND = np.uint64(0x2545F4914F6CDD1D)
@@ -284,10 +284,10 @@ class Tree:
                 todo.append((level - 1, x[good], y[good]))
 
 
-def candidates(ids: np.ndarray, n: np.ndarray, sign: list[bytes], component: np.ndarray, threshold: int, full: bool) -> list[tuple[int, int]]:
+def candidates(ids: np.ndarray, n: np.ndarray, sign: list[bytes], component: np.ndarray, threshold: int, turn: int | None) -> list[tuple[int, int]]:
     """Pairs of a group that bitmaps and sizes allow to link and that no component joins yet.
 
-    full: all of them; else for each set at most one, with one of the first few sets that stand for the group.
+    turn None: all of them; else for each set at most TRIES, with sets that stand for the group in that turn.
     Sizes that can link differ by at most a third, so bitmaps' widths by a factor of two: trees hold two neighbouring widths.
     """
     order = np.lexsort((ids, n))
@@ -300,30 +300,28 @@ def candidates(ids: np.ndarray, n: np.ndarray, sign: list[bytes], component: np.
             continue
         bitmaps = np.stack([fold(np.frombuffer(sign[i], np.uint64)[None, :], w)[0] for i in own])
         m = n[own]
-        if full:
+        if turn is None:
             for a, b in Tree(bitmaps, m, component[own]).pairs(threshold):
                 out += zip(ids[own[a]].tolist(), ids[own[b]].tolist(), strict=True)
             continue
         spare = m - np.bitwise_count(bitmaps).sum(1, dtype=np.int64)
-        rest = np.arange(len(own))
-        for _ in range(PIVOTS):
-            if len(rest) < 2:
-                break
-            p, others = rest[0], rest[1:]
-            most = np.bitwise_count(bitmaps[others] & bitmaps[p]).sum(1, dtype=np.int64) + np.minimum(spare[others], spare[p])
-            most = np.minimum(most, np.minimum(m[others], m[p]))
-            good = ((100 + threshold) * most >= threshold * (m[others] + m[p])) & (component[own[others]] != component[own[p]])
-            out += [(int(ids[own[p]]), int(ids[own[i]])) for i in others[good].tolist()]
-            rest = others[~good]
+        tries, where = np.zeros(len(own), np.int64), component[own]
+        for p in np.argsort(mix(ids[own].astype(np.uint64) + np.uint64(turn)))[:PIVOTS]:
+            rest = np.flatnonzero((tries < TRIES) & (where != where[p]))
+            most = np.bitwise_count(bitmaps[rest] & bitmaps[p]).sum(1, dtype=np.int64) + np.minimum(spare[rest], spare[p])
+            most = np.minimum(most, np.minimum(m[rest], m[p]))
+            rest = rest[(100 + threshold) * most >= threshold * (m[rest] + m[p])]
+            tries[rest] += 1
+            out += [(int(ids[own[p]]), int(i)) for i in ids[own[rest]].tolist()]
     return out
 
 
-def _candidates(members: DataFrame, signs: DataFrame, threshold: int, full: bool) -> DataFrame:
-    """(a, b): members (gid, id, size, component). Large groups: blocks, or pairs of blocks if full."""
+def _candidates(members: DataFrame, signs: DataFrame, threshold: int, turn: int | None) -> DataFrame:
+    """(a, b): members (gid, id, size, component). Large groups: blocks, or without a turn pairs of blocks."""
     blocks = F.ceil(F.col("size") / F.lit(GROUP)).cast("int")
     block = F.pmod(F.xxhash64("id"), blocks.cast("long")).cast("int")
     keyed = members.withColumn("blocks", blocks).withColumn("block", block)
-    if full:
+    if turn is None:
         other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
         keyed = keyed.withColumn("other", other).withColumn("gid", F.xxhash64("gid", F.least("block", "other"), F.greatest("block", "other")))
     else:
@@ -334,7 +332,7 @@ def _candidates(members: DataFrame, signs: DataFrame, threshold: int, full: bool
     def run(batches):
         def done(rows):
             i, c, n, s = zip(*rows, strict=True)
-            found = candidates(np.array(i), np.array(n), list(s), np.array(c), threshold, full)
+            found = candidates(np.array(i), np.array(n), list(s), np.array(c), threshold, turn)
             a, b = zip(*found, strict=True) if found else ((), ())
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
@@ -373,6 +371,17 @@ def _verified(docs: DataFrame, pairs: DataFrame, size: int, threshold: int) -> D
     return shared.written(both.mapInArrow(run, "a long, b long"), "verified")
 
 
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(id, component) after more links; ids without a label stand for themselves."""
+    if links.isEmpty():
+        return labels
+    a, b = (labels.select(F.col("id").alias(x), F.col("component").alias("c" + x)) for x in "ab")
+    second = components(links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    moved = second.select(F.col("id").alias("component"), F.col("component").alias("to"))
+    both = labels.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    return shared.written(both.union(second.join(labels.select("id"), "id", "left_anti")), "labels")
+
+
 def jaccard_components(docs: DataFrame, text: str = "text", id: str = "doc_id", size: int = SIZE, threshold: int = THRESHOLD) -> DataFrame:
     """(id, n_shingles, component): one row for each row of docs."""
     spark = docs.sparkSession
@@ -388,24 +397,19 @@ def jaccard_components(docs: DataFrame, text: str = "text", id: str = "doc_id",
     groups = shared.written(_groups(known, size, threshold, keys, often, buckets), "groups")
     signs = first.where("bucket is null and id is not null").select("id", "n", "sign")
 
-    largest = groups.groupBy("id").agg(F.max(F.struct("size", "gid")).alias("g")).select("g.gid", "id", "g.size", F.col("id").alias("component"))
-    pairs = shared.written(_candidates(largest, signs, threshold, full=False), "pairs")
-    labels = components(copies.union(_verified(known, pairs, size, threshold)))
-
-    placed = shared.written(groups.join(labels, "id", "left").select("gid", "id", "size", F.coalesce("component", "id").alias("component")), "placed")
-    open_groups = placed.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("gid")
-    rest = placed.join(shared.written(open_groups, "open"), "gid")
-    pairs = shared.written(_candidates(rest, signs, threshold, full=True), "pairs")
-    more = _verified(known, pairs, size, threshold)
-    if not more.isEmpty():
-        at = labels.select(F.col("id").alias("a"), F.col("component").alias("ca"))
-        bt = labels.select(F.col("id").alias("b"), F.col("component").alias("cb"))
-        joined = more.join(at, "a", "left").join(bt, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
-        second = components(joined)
-        moved = second.select(F.col("id").alias("component"), F.col("component").alias("to"))
-        both = labels.join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
-        alone = second.join(labels.select("id"), "id", "left_anti")
-        labels = shared.written(both.union(alone), "labels")
+    labels = components(copies)
+    members = groups.withColumn("component", F.col("id"))
+    for turn in (*range(TURNS), None):
+        placed = members.drop("component").join(labels, "id", "left").select("gid", "id", "size", F.coalesce("component", "id").alias("component"))
+        placed = shared.written(placed, "placed")
+        apart = placed.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("gid")
+        members = placed.join(shared.written(apart, "open"), "gid")
+        if turn is not None:
+            pick = F.struct("size", "gid") if turn == 0 else F.struct(F.xxhash64("gid", F.lit(turn)).alias("size"), "gid")
+            one = members.groupBy("id").agg(F.max(pick).alias("g"), F.max("component").alias("component")).select("g.gid", "id", "component")
+            chosen = one.join(shared.written(members.groupBy("gid").agg(F.max("size").alias("size")), "sizes"), "gid")
+        pairs = shared.written(_candidates(members if turn is None else chosen, signs, threshold, turn), "pairs")
+        labels = _merged(labels, _verified(known, pairs, size, threshold))
     return own.join(labels, "id", "left").select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component"))
 
 
