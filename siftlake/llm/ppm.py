@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from siftlake.llm import shared
 from siftlake.llm.text import NONSPACE, U64, Lookup, Words, ragged, slices, utf8
 
-ORDER, SHARD, HOT, FLUSH, END = 5, 6 << 20, 1 << 20, 4_000_000, 0xFF
+ORDER, SHARD, HOT, FLUSH, END = 5, 6 << 20, 1 << 20, 2_000_000, 0xFF
 _END_WORD = np.uint64(0x9B97_5C1E_31A7_F00D)  # stands for the hash of the end token
 
 
@@ -70,7 +70,7 @@ class Trie:
         key, count = self.levels[order]
         at = np.flatnonzero(np.concatenate(([True], key[1:] >> U64(8) != key[:-1] >> U64(8)))) if len(key) else np.zeros(0, np.int64)
         total = np.add.reduceat(count, at) if len(at) else np.zeros(0, np.int64)
-        self.log = np.log10((2 * count - 1) / (2 * np.repeat(total, np.diff(np.append(at, len(key))))))
+        self.log = np.log10((2 * count - 1) / (2 * np.repeat(total, np.diff(np.append(at, len(key)))))).astype(np.float32)
 
     def __getstate__(self):
         return {k: v for k, v in self.__dict__.items() if k != "lookup"}
@@ -80,7 +80,7 @@ class Trie:
         if "lookup" not in self.__dict__:
             self.lookup = Lookup(self.levels[self.order][0])
         at = self.lookup.find(keys)
-        out = self.log[at] if len(self.log) else np.zeros(len(keys))
+        out = self.log[at].astype(float) if len(self.log) else np.zeros(len(keys))
         new = np.flatnonzero(at < 0)
         if len(new):
             distinct, back = np.unique(keys[new], return_inverse=True)
@@ -126,24 +126,38 @@ _COUNTS = "kind int, bucket int, keys binary, values binary"
 def _counted(rows: DataFrame, order: int, buckets: int) -> DataFrame:
     """(kind, bucket, keys, values): totals of words (0) and places (1) of the training texts."""
     def emit(kind, parts):
-        keys, n = shared.counts_of(np.concatenate(parts))
+        keys, n = shared.counts_of(*(np.concatenate(x) for x in zip(*parts, strict=True)))
         b, k, v = zip(*shared.bucketed(keys, n, buckets), strict=True)
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(b), kind, np.int32)), pa.array(b, pa.int32()), pa.array(k, pa.binary()), pa.array(v, pa.binary())], ["kind", "bucket", "keys", "values"])
 
     def count(batches):
-        kept: dict[int, list] = {0: [], 1: []}
+        raw: dict[int, list] = {0: [], 1: []}
         held = {0: 0, 1: 0}
+        packed: dict[int, list] = {0: [], 1: []}
+
+        def compact(kind):
+            """Counts what is raw; joins the counts so far once they are many."""
+            packed[kind].append(shared.counts_of(np.concatenate(raw[kind])))
+            raw[kind], held[kind] = [], 0
+            if sum(len(k) for k, _ in packed[kind]) > FLUSH:
+                keys, n = (np.concatenate(x) for x in zip(*packed[kind], strict=True))
+                packed[kind] = [shared.counts_of(keys, n)]
+
         for batch in batches:
             for part in slices(batch, "text"):
                 for kind, found in ((0, tokens(part.column(0))[0]), (1, grams(*utf8(part.column(0)), order)[0])):
-                    kept[kind].append(found)
+                    raw[kind].append(found)
                     held[kind] += len(found)
-                    if held[kind] > FLUSH * (1 + 3 * kind):
-                        yield emit(kind, kept[kind])
-                        kept[kind], held[kind] = [], 0
+                    if held[kind] > FLUSH:
+                        compact(kind)
+                        if len(packed[kind][0][0]) > FLUSH:
+                            yield emit(kind, packed[kind])
+                            packed[kind] = []
         for kind in (0, 1):
             if held[kind]:
-                yield emit(kind, kept[kind])
+                compact(kind)
+            if packed[kind]:
+                yield emit(kind, packed[kind])
 
     def total(batches):
         by: dict[tuple, list] = {}
@@ -268,7 +282,7 @@ def _scored(rows: DataFrame, mask: np.ndarray, trie: Trie, hot, buckets: int) ->
                         kept.append((word[tail], np.repeat(part.column(0).to_numpy(), size)[tail]))
                         held += int(tail.sum())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size), pa.array(known), pa.array(base), pa.array(score), *(pa.nulls(n, t) for t in types[6:])], names)
-                if held > FLUSH:
+                if held > FLUSH // 2:
                     yield flush()
                     kept, held = [], 0
         if held:
