@@ -21,9 +21,11 @@ import math
 import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftlake.llm.shared import annotate, written
 from siftlake.llm.text import ALNUM, LOWER, Lookup, Words, combine, ragged, utf8
@@ -192,17 +194,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
             before = written(out, "decontaminate")
             flat = before.select("row", "n_words", "items", "spans", before["row"][text].alias("t"))
             more = annotate(flat, "t", run, "n_words long, n_hit long, items array<string>, spans array<long>", keep=["row", "items", "spans"])
-            spans = _merge(F.col("row.spans"), F.col("spans"))
-            out = more.select(F.struct(*[F.col("row.row")[c].alias(c) for c in names]).alias("row"), "n_words", F.sort_array(F.array_union("row.items", "items")).alias("items"), spans.alias("spans"))
-            out = out.select("row", "n_words", F.expr("aggregate(sequence(0, greatest(size(spans) div 2, 1) - 1), 0L, (a, i) -> a + coalesce(try_element_at(spans, 2 * i + 2) - try_element_at(spans, 2 * i + 1), 0L))").alias("n_hit"), "items", "spans")
+            more = more.select(F.col("row.row").alias("r0"), F.col("row.items").alias("i0"), F.col("row.spans").alias("s0"), "n_words", "items", "spans")
+            out = more.select(F.struct(*[F.col("r0")[c].alias(c) for c in names]).alias("row"), "n_words", F.sort_array(F.array_union("i0", "items")).alias("items"), _merge(F.col("s0"), F.col("spans")).alias("spans"))
+            out = out.select("row", "n_words", F.expr("aggregate(transform(spans, (x, i) -> if(i % 2 = 0, -x, x)), 0L, (a, x) -> a + x)").alias("n_hit"), "items", "spans")
     return out
 
 
-def _merge(a, b):
-    """The union of two lists of word ranges, each as flat [first, last, first, last, ...]."""
-    pairs = F.sort_array(F.transform(F.filter(F.transform(F.concat(a, b), lambda x, i: F.struct(i.alias("i"), x.alias("x"))), lambda s: s["i"] % 2 == 0), lambda s: F.struct(s["x"].alias("lo"), F.element_at(F.concat(a, b), s["i"] + 2).alias("hi"))))
-    none = F.array().cast("array<bigint>")
-    return F.aggregate(pairs, none, lambda acc, p: F.when((F.size(acc) > 0) & (F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(-1)) >= p["lo"]), F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.greatest(F.try_element_at(acc, F.lit(-1)), p["hi"])))).otherwise(F.concat(acc, F.array(p["lo"], p["hi"]))))
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def _merge(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The union of two lists of word ranges, each as flat first, last, first, last, ..."""
+    out = []
+    for x, y in zip(a, b, strict=True):
+        merged: list[int] = []
+        for lo, hi in sorted([*zip(x[::2], x[1::2], strict=True), *zip(y[::2], y[1::2], strict=True)]):
+            if merged and merged[-1] >= lo:
+                merged[-1] = max(merged[-1], hi)
+            else:
+                merged += [lo, hi]
+        out.append(merged)
+    return pd.Series(out)
 
 
 def is_contaminated(n_words, n_hit):
