@@ -30,6 +30,9 @@ from siftlake.llm import shared
 from siftlake.llm.tokenpack import store
 
 PIECE, LEVEL, DATE = 1 << 20, 3, "2000-01-01T00:00:00Z"
+
+#: Payloads with copies whose table (some hundred bytes a row) is broadcast; more are joined by a shuffle.
+BROADCAST_ROWS = 100_000
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
@@ -134,7 +137,8 @@ def write_archives(pages: DataFrame, id: str = "page_id", url: str = "url", payl
     twice = given.where(F.octet_length("body") >= least).groupBy("sha1").agg(F.max("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
     twice = shared.written(twice.select("sha1", "first"), "copies")
     refers = F.when(~F.col("id").eqNullSafe(F.col("first")), F.col("first"))
-    rows = given.join(twice.hint("shuffle_hash"), "sha1", "left").select("id", "url", "body", "sha1", refers.alias("refers"))
+    few = twice.count() <= BROADCAST_ROWS
+    rows = given.join(F.broadcast(twice) if few else twice, "sha1", "left").select("id", "url", "body", "sha1", refers.alias("refers"))
     to = shared.fresh(spark, "warc")
 
     def run(batches):
