@@ -8,7 +8,7 @@ similarity is at least `threshold` percent.  Three passes over the texts:
    the most frequent of all (a bounded number) go last in the order of shingles;
 2. each set's prefix - a set that is to reach the threshold shares one of its
    first n - ceil(threshold * n) + 1 shingles - dealt out by shingle, packed;
-   the texts that share a shingle make a group, equal groups count once;
+   the texts that share a shingle make groups by size, equal groups count once;
 3. the shingles of the texts in candidate pairs, whose similarity is then exact.
 
 Inside a group a tree holds OR-combined bitmaps, size ranges and the largest
@@ -36,8 +36,9 @@ from siftlake.llm.components import components
 from siftlake.llm.text import NONSPACE, Lookup, Words, distinct_sets, mix, shingles, slices, utf8
 
 SIZE, THRESHOLD = 5, 75
-FREQUENT, GROUP, PIVOTS, TRIES, TURNS, FANOUT, MOST_BITS = 1 << 20, 2048, 24, 6, 3, 8, 1 << 17
+FREQUENT, GROUP, PIVOTS, TRIES, TURNS, FANOUT, MOST_BITS = 1 << 20, 2048, 24, 4, 3, 8, 1 << 17
 FLUSH = 4_000_000
+STEPS, ENTRY = 64, np.dtype([("id", "<i8"), ("size", "<u2")])
 SLOTS = 26
 _SECOND = np.uint64(0x2545F4914F6CDD1D)
 
@@ -125,6 +126,11 @@ def _frequent(counted: DataFrame, buckets: int, limit: int) -> tuple[np.ndarray,
     return keys, n
 
 
+def size_class(n: np.ndarray, threshold: int) -> np.ndarray:
+    """Sizes on a logarithmic scale: those of sets that can link differ by STEPS + 1 at most."""
+    return np.floor(np.log(np.maximum(n, 1)) * (STEPS / np.log(100 / threshold) if threshold < 100 else 1000.0)).astype(np.uint16)
+
+
 def prefix_mask(value: np.ndarray, edge: np.ndarray, count: np.ndarray, threshold: int) -> np.ndarray:
     """Marks each set's prefix in the order (count, hash); value is ascending in each set."""
     n = np.diff(edge)
@@ -160,7 +166,10 @@ def _groups(docs: DataFrame, size: int, threshold: int, keys: np.ndarray, n: np.
                 count = np.diff(edge)
                 new = _unseen(*set_hashes(value, edge), count, seen)
                 mask = prefix_mask(value, edge, often[lookup.find(value)] if len(keys) else np.zeros(len(value), np.int64), threshold) & np.repeat(new, count)
-                kept.append((value[mask], np.repeat(part.column(0).to_numpy(zero_copy_only=False), count)[mask]))
+                entry = np.empty(int(mask.sum()), ENTRY)
+                entry["id"] = np.repeat(part.column(0).to_numpy(zero_copy_only=False), count)[mask]
+                entry["size"] = np.repeat(size_class(count, threshold), count)[mask]
+                kept.append((value[mask], entry))
                 held += int(mask.sum())
                 if held > FLUSH:
                     yield from flush()
@@ -172,21 +181,24 @@ def _groups(docs: DataFrame, size: int, threshold: int, keys: np.ndarray, n: np.
         tokens, ids = [], []
         for batch in batches:
             tokens += [shared.unpack(x, np.uint64) for x in batch.column("keys").to_pylist()]
-            ids += [shared.unpack(x, np.int64) for x in batch.column("values").to_pylist()]
+            ids += [shared.unpack(x, ENTRY) for x in batch.column("values").to_pylist()]
         if not tokens:
             return
-        token, owner = np.concatenate(tokens), np.concatenate(ids)
+        token, entry = np.concatenate(tokens), np.concatenate(ids)
         order = np.argsort(token)
-        token, owner = token[order], owner[order]
+        token, entry = token[order], entry[order]
         same = token[1:] == token[:-1]
-        shared_token = np.concatenate(([False], same)) | np.concatenate((same, [False]))
-        token, owner = token[shared_token], owner[shared_token]
-        order = np.lexsort((owner, token))
-        token, owner = token[order], owner[order]
+        twice = np.concatenate(([False], same)) | np.concatenate((same, [False]))
+        token, owner, size = token[twice], entry["id"][twice], entry["size"][twice].astype(np.int64)
+        order = np.lexsort((owner, size, token))
+        token, owner, size = token[order], owner[order], size[order]
         keep = np.ones(len(token), bool)
-        keep[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1])
-        token, owner = token[keep], owner[keep]
-        at = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1]))) if len(token) else np.zeros(0, np.int64)
+        keep[1:] = (token[1:] != token[:-1]) | (owner[1:] != owner[:-1]) | (size[1:] != size[:-1])
+        token, owner, size = token[keep], owner[keep], size[keep]
+        # a group ends where the next size is too large to link with this one, and so with any before
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (size[1:] - size[:-1] > STEPS + 1)
+        at = np.flatnonzero(new)
         if not len(at):
             return
         n = np.diff(np.append(at, len(token)))
@@ -226,11 +238,11 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
 
 
 def signatures(value: np.ndarray, edge: np.ndarray) -> list[bytes]:
-    """A bitmap of each set: a power of two of bits, at least four for each shingle."""
+    """A bitmap of each set: a power of two of bits, at least four for each shingle, and more for small sets."""
     n = np.diff(edge)
     out = []
     for a, b, m in zip(edge[:-1].tolist(), edge[1:].tolist(), n.tolist(), strict=True):
-        bits = np.zeros(min(MOST_BITS, max(64, 1 << int(4 * m - 1).bit_length())) if m else 64, np.uint8)
+        bits = np.zeros(min(MOST_BITS, max(64, 1 << int(4 * m - 1).bit_length(), min(4096, 1 << int(16 * m - 1).bit_length()))) if m else 64, np.uint8)
         bits[(value[a:b] & np.uint64(len(bits) - 1)).astype(np.int64)] = 1
         out.append(np.packbits(bits, bitorder="little").tobytes())
     return out
@@ -288,7 +300,7 @@ def candidates(ids: np.ndarray, n: np.ndarray, sign: list[bytes], component: np.
     """Pairs of a group that bitmaps and sizes allow to link and that no component joins yet.
 
     turn None: all of them; else for each set at most TRIES, with sets that stand for the group in that turn.
-    Sizes that can link differ by at most a third, so bitmaps' widths by a factor of two: trees hold two neighbouring widths.
+    Sizes that can link differ by at most a third, so bitmaps' widths by a factor of two: trees hold two neighbouring widths, folded to the smaller.
     """
     order = np.lexsort((ids, n))
     ids, n, component, sign = ids[order], n[order], component[order], [sign[i] for i in order]
@@ -307,7 +319,7 @@ def candidates(ids: np.ndarray, n: np.ndarray, sign: list[bytes], component: np.
         spare = m - np.bitwise_count(bitmaps).sum(1, dtype=np.int64)
         tries, where = np.zeros(len(own), np.int64), component[own]
         for p in np.argsort(mix(ids[own].astype(np.uint64) + np.uint64(turn)))[:PIVOTS]:
-            rest = np.flatnonzero((tries < TRIES) & (where != where[p]))
+            rest = np.flatnonzero((tries < (TRIES if turn else 1)) & (where != where[p]))
             most = np.bitwise_count(bitmaps[rest] & bitmaps[p]).sum(1, dtype=np.int64) + np.minimum(spare[rest], spare[p])
             most = np.minimum(most, np.minimum(m[rest], m[p]))
             rest = rest[(100 + threshold) * most >= threshold * (m[rest] + m[p])]

@@ -112,3 +112,10 @@ def annotate(df: DataFrame, text: str, function: Callable[[pa.Array], list[pa.Ar
 
     out = given.mapInArrow(run, out_schema)
     return out.select(F.struct(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)]).alias("row"), *[F.col(f"r{i}").alias(c.strip()) for i, c in enumerate(names)])
+
+
+def drop_all(spark: SparkSession) -> None:
+    """Deletes every table and file that operators have left in the shared folder; call it once results are written elsewhere."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{folder(spark)}/siftlake")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
