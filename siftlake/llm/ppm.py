@@ -32,7 +32,8 @@ from pyspark.sql import functions as F
 from siftlake.llm import shared
 from siftlake.llm.text import NONSPACE, U64, Lookup, Words, ragged, slices, utf8
 
-ORDER, SHARD, HOT, FLUSH, END = 5, 6 << 20, 1 << 20, 2_000_000, 0xFF
+ORDER, SHARD, HOT, FLUSH, END = 5, 6 << 20, 1 << 19, 1_000_000, 0xFF
+SLICE = 1 << 18
 _END_WORD = np.uint64(0x9B97_5C1E_31A7_F00D)  # stands for the hash of the end token
 
 
@@ -67,7 +68,8 @@ class Trie:
         self.order, self.levels = order, []
         for k in range(order + 1):
             self.levels.append(low[k] if k < 2 and k < order else shared.counts_of(key & U64((1 << 8 * (k + 1)) - 1), count))
-        key, count = self.levels[order]
+        self.levels = [(k, n.astype(np.uint32) if len(n) and n.max() < 1 << 32 else n) for k, n in self.levels]
+        key, count = self.levels[order][0], self.levels[order][1].astype(np.int64)
         at = np.flatnonzero(np.concatenate(([True], key[1:] >> U64(8) != key[:-1] >> U64(8)))) if len(key) else np.zeros(0, np.int64)
         total = np.add.reduceat(count, at) if len(at) else np.zeros(0, np.int64)
         self.log = np.log10((2 * count - 1) / (2 * np.repeat(total, np.diff(np.append(at, len(key)))))).astype(np.float32)
@@ -144,7 +146,7 @@ def _counted(rows: DataFrame, order: int, buckets: int) -> DataFrame:
                 packed[kind] = [shared.counts_of(keys, n)]
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 for kind, found in ((0, tokens(part.column(0))[0]), (1, grams(*utf8(part.column(0)), order)[0])):
                     raw[kind].append(found)
                     held[kind] += len(found)
@@ -158,6 +160,8 @@ def _counted(rows: DataFrame, order: int, buckets: int) -> DataFrame:
                 compact(kind)
             if packed[kind]:
                 yield emit(kind, packed[kind])
+                packed[kind] = []
+        pa.default_memory_pool().release_unused()
 
     def total(batches):
         by: dict[tuple, list] = {}
@@ -256,7 +260,7 @@ def _scored(rows: DataFrame, mask: np.ndarray, trie: Trie, hot, buckets: int) ->
             return pa.RecordBatch.from_arrays([pa.nulls(len(b), t) for t in types[:6]] + [pa.array(b, types[6]), pa.array(k, types[7]), pa.array(v, types[8])], names)
 
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", SLICE):
                 key, edge = grams(*utf8(part.column(2)), tree.order)
                 if full:
                     log = tree.scores(key)
@@ -282,11 +286,12 @@ def _scored(rows: DataFrame, mask: np.ndarray, trie: Trie, hot, buckets: int) ->
                         kept.append((word[tail], np.repeat(part.column(0).to_numpy(), size)[tail]))
                         held += int(tail.sum())
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(size), pa.array(known), pa.array(base), pa.array(score), *(pa.nulls(n, t) for t in types[6:])], names)
-                if held > FLUSH // 2:
+                if held > FLUSH // 4:
                     yield flush()
                     kept, held = [], 0
         if held:
             yield flush()
+        pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run, _SCORED)
 
@@ -298,11 +303,12 @@ class HotWords:
     def ready(self) -> tuple[Lookup, np.ndarray]:
         if "lookup" not in self.__dict__:
             self.lookup = Lookup(self.words)
-            self.padded = np.append(self.count, 0)
+            self.padded = np.append(self.count, 0).astype(np.float64)
+            del self.count
         return self.lookup, self.padded
 
     def __getstate__(self):
-        return {"words": self.words, "count": self.count}
+        return {"words": self.words, "count": self.__dict__.get("count")}
 
 
 def _tail(tokens_: DataFrame, counts: DataFrame, total: int, distinct: int, buckets: int) -> DataFrame:
