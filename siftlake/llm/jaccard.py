@@ -380,7 +380,9 @@ def _verified(docs: DataFrame, pairs: DataFrame, size: int, threshold: int) -> D
                 good.append(100 * common >= threshold * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return shared.written(both.mapInArrow(run, "a long, b long"), "verified")
+    good = shared.written(both.mapInArrow(run, "a long, b long"), "verified")
+    shared.discard(sets)
+    return good
 
 
 def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
@@ -410,12 +412,17 @@ def jaccard_components(docs: DataFrame, text: str = "text", id: str = "doc_id",
     signs = first.where("bucket is null and id is not null").select("id", "n", "sign")
 
     labels = components(copies)
+    placed = None
     members = groups.withColumn("component", F.col("id"))
     for turn in (*range(TURNS), None):
-        placed = members.drop("component").join(labels, "id", "left").select("gid", "id", "size", F.coalesce("component", "id").alias("component"))
+        before, placed = placed, members.drop("component").join(labels, "id", "left").select("gid", "id", "size", F.coalesce("component", "id").alias("component"))
         placed = shared.written(placed, "placed")
+        if before is not None:
+            shared.discard(before)
         apart = placed.groupBy("gid").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("gid")
         members = placed.join(shared.written(apart, "open"), "gid")
+        if turn == 1:  # from now on few texts are left
+            signs = shared.written(signs.join(members.select("id").distinct(), "id", "left_semi"), "signs")
         if turn is not None:
             pick = F.struct("size", "gid") if turn == 0 else F.struct(F.xxhash64("gid", F.lit(turn)).alias("size"), "gid")
             one = members.groupBy("id").agg(F.max(pick).alias("g"), F.max("component").alias("component")).select("g.gid", "id", "component")

@@ -31,7 +31,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, read again from a table in the shared folder: lost executors cost no more than a read."""
     path = fresh(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables of written() on which nothing that is still read depends."""
+    for df in tables:
+        _delete(df.sparkSession, df.written_to)
 
 
 def partitions(spark: SparkSession) -> int:
@@ -116,6 +124,9 @@ def annotate(df: DataFrame, text: str, function: Callable[[pa.Array], list[pa.Ar
 
 def drop_all(spark: SparkSession) -> None:
     """Deletes every table and file that operators have left in the shared folder; call it once results are written elsewhere."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{folder(spark)}/siftlake")
+    _delete(spark, f"{folder(spark)}/siftlake")
+
+
+def _delete(spark: SparkSession, where: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
