@@ -6,12 +6,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from siftlake.functions.kernels import Kernel
 from siftlake.operators import pairwise
 from siftlake.sources.points import Local, Points, uniform
 
+#: Points, the least similar to the landmarks there are, that one pass over all sends to the driver.
+FARTHEST = 4096
+
 
 def sample(p: Points, m: int, seed: int) -> Local:
     """m points by a hash of _idx; all if there are fewer."""
@@ -77,18 +81,51 @@ class MonteCarlo(Approximate):
 
 
 class ANNchor(Approximate):
-    """Landmarks one by one: next comes the point that is least similar to those there are; the smallest _idx begins and wins ties."""
+    """Landmarks one by one: next comes the point of all that is least similar to those there are; the smallest _idx begins and wins ties.
+
+    Similarities only rise with more landmarks.  So one pass over all points gives the least similar ones, and
+    these give the next landmarks for as long as one of them is below the last: no other point can come before.
+    """
 
     def landmarks(self, p):
-        own = sample(p, max(self.kernel_points, self.train_points), self.seed)
-        order = np.argsort(own.idx)
-        x = own.x[order]
-        chosen, near = [0], self.base(x, x[:1])[:, 0]
-        while len(chosen) < min(self.kernel_points, len(x)):
-            near[chosen] = np.inf
-            chosen.append(int(np.argmin(near)))
-            near = np.maximum(near, self.base(x, x[chosen[-1:]])[:, 0])
-        return x[chosen]
+        first = Local.of(p.df.orderBy("_idx").limit(1).toArrow())
+        x, chosen = first.x, first.idx.tolist()
+        while chosen and len(chosen) < self.kernel_points:
+            rows = self.farthest(p, x, chosen).orderBy("near", "_idx").limit(FARTHEST).toArrow()
+            if not rows.num_rows:
+                break
+            own, near = Local.of(rows), rows["near"].to_numpy().copy()
+            last = len(own) - 1 if len(own) == FARTHEST else None
+            bound = np.inf if last is None else near[last]
+            order = np.argsort(own.idx, kind="stable")  # so that argmin takes the smallest _idx
+            left = np.ones(len(own), bool)
+            while len(chosen) < self.kernel_points and left.any():
+                at = order[np.argmin(np.where(left, near, np.inf)[order])]
+                if near[at] > bound or near[at] == bound and last is not None and own.idx[at] > own.idx[last]:
+                    break
+                left[at] = False
+                chosen.append(own.idx[at].item())
+                x = np.concatenate((x, own.x[at : at + 1]))
+                near = np.maximum(near, self.base(own.x, own.x[at : at + 1])[:, 0])
+        return x
+
+    def farthest(self, p: Points, x: np.ndarray, chosen: list) -> DataFrame:
+        """(_idx, x, w, near): the points that are not chosen, each with its largest similarity to the landmarks x."""
+        kind = dict(p.df.dtypes)["_idx"]
+        shared, kernel = p.df.sparkSession.sparkContext.broadcast((x, chosen)), self.base
+
+        def run(batches):
+            marks, chosen = shared.value
+            for batch in batches:
+                batch = batch.filter(pc.invert(pc.is_in(batch.column(0), pa.array(chosen, batch.column(0).type))))
+                if batch.num_rows:
+                    rows = pairwise.matrix(batch.column(1))
+                    near = np.full(len(rows), -np.inf)
+                    for lo in range(0, len(marks), 256):
+                        near = np.maximum(near, kernel(rows, marks[lo : lo + 256]).max(1))
+                    yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near)], ["_idx", "x", "w", "near"])
+
+        return p.df.select("_idx", "x", "w").mapInArrow(run, f"_idx {kind}, x array<double>, w double, near double")
 
 
 class Nystrom(Approximate):

@@ -133,6 +133,21 @@ def test_approximate_means(cloud, kind):
         kind(SE, 0)
 
 
+@pytest.mark.parametrize("farthest", [4096, 7])
+def test_annchor_looks_at_all_points(spark, monkeypatch, farthest):
+    monkeypatch.setattr(approx, "FARTHEST", farthest, raising=False)
+    x = np.random.default_rng(8).normal(size=(500, 2))
+    x[[40, 77, 310]] = [[9, 9], [-9, 9], [9, 9]]  # far from all; one of two equal points
+    near, chosen = SE(x, x[:1])[:, 0], [0]
+    while len(chosen) < 30:
+        near[chosen] = np.inf
+        chosen.append(int(np.argmin(near)))
+        near = np.maximum(near, SE(x, x[chosen[-1:]])[:, 0])
+    got = approx.ANNchor(SE, 30, 40).landmarks(from_arrays(spark, x).spread(3))
+    assert {40, 77} <= set(chosen) and np.array_equal(got, x[chosen])
+    assert len(approx.ANNchor(SE, 30, 40).landmarks(from_arrays(spark, x[:5]))) == 5
+
+
 def test_map_reduce(spark):
     x = np.random.default_rng(3).normal(size=(3000, 2))
     p = from_arrays(spark, x).spread(4)
