@@ -87,7 +87,7 @@ class Scanner:
         found = []
         for i, starts in hits.items():
             n, _, k = self.notices[i]
-            done = -1
+            done = -len(n) - k - 1  # below every seed: letters lost before one put its start before the text
             for at in sorted(set(starts)):
                 lo, hi = max(0, at - k), min(len(text), at + len(n) + k)
                 if at <= done:

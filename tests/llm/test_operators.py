@@ -164,6 +164,22 @@ def test_pieces_find_every_match_with_few_edits():
             assert label in {scanner.notices[f[0]][1] for f in scanner.fuzzy(text)}, text
 
 
+@pytest.mark.parametrize("before, after", [("", " and after"), ("before it ", ""), ("", "")])
+def test_pieces_find_matches_at_the_ends_of_a_text(before, after):
+    rng = random.Random(4)
+    scanner = licenses.Scanner(licenses.BASE, licenses.NOTICES)
+    for notice, label in licenses.NOTICES.items():
+        some = [notice[:at] + notice[at + 1 :] for at in range(len(notice))]
+        for _ in range(20):
+            t = list(notice)
+            for _ in range(rng.randint(0, licenses.edits_of(notice))):
+                at = rng.randrange(len(t))
+                t[at : at + 1] = rng.choice([[], ["x"], [t[at], "y"]])
+            some.append("".join(t))
+        for t in some:
+            assert label in {scanner.notices[f[0]][1] for f in scanner.fuzzy(before + t + after)}, t
+
+
 # 5 ---------------------------------------------------------------------------------------------
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
