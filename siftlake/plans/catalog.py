@@ -344,7 +344,7 @@ for _kind in (approx.MonteCarlo, approx.ANNchor, approx.Nystrom):
 @query("sliced_score")
 def sliced_score(spark, sf_dir):
     p = parts(spark, sf_dir)
-    net = score.ScoreNetwork((32, 32), epochs=3).fit(approx.sample(p, 1000, 3).x)
+    net = score.ScoreNetwork((32, 32), epochs=3).fit_points(p)
     return score.score_table(p, net).select(F.col("_idx").alias("id"), F.round(F.col("score")[0], 6).alias("s0"), F.round(F.col("score")[1], 6).alias("s1"))
 
 

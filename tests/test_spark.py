@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from siftlake.functions import kernels as K
 from siftlake.operators import approx, greedy, metrics, pairwise, score, solvers
+from siftlake.plans import catalog
 from siftlake.sources.points import Local, from_arrays, points, read, uniform, write
 
 SE = K.SquaredExponential(1.0)
@@ -124,6 +125,20 @@ def test_scores(spark, cloud):
     assert np.allclose([table[i] for i in range(300)], score.kde_score(x, 0.8)(x))
 
 
+def test_score_network_learns_from_all_rows(spark, monkeypatch):
+    plain, seen = score.ScoreNetwork._gradients, []
+    monkeypatch.setattr(score.ScoreNetwork, "_gradients", lambda self, x, v, weight: seen.append(x) or plain(self, x, v, weight))
+    x = np.random.default_rng(6).normal(size=(1500, 2))
+    monkeypatch.setattr(catalog, "parts", lambda *_: from_arrays(spark, x).spread(3))
+    assert catalog.sliced_score(spark, "").count() == 1500
+    rows = np.concatenate(seen)
+    assert len(rows) == 3 * 1500 and max(map(len, seen)) == 64
+    for k in range(3):
+        own = rows[1500 * k : 1500 * k + 1500]
+        assert np.array_equal(own[np.lexsort(own.T)], x[np.lexsort(x.T)])
+    assert not np.array_equal(rows[:1500], rows[1500:3000])
+
+
 @pytest.mark.parametrize("kind", [approx.MonteCarlo, approx.ANNchor, approx.Nystrom])
 def test_approximate_means(cloud, kind):
     x, w, p = cloud
