@@ -291,7 +291,7 @@ def stein_thinning_regularised(spark, sf_dir):
 
 @query("greedy_kernel_points")
 def greedy_kernel_points(spark, sf_dir):
-    return _picked(solvers.GreedyKernelPoints(4, SE, candidate_batch=64).reduce(embeddings(spark, sf_dir, y="label")))
+    return _picked(solvers.GreedyKernelPoints(4, SE).reduce(embeddings(spark, sf_dir, y="label")))
 
 
 @query("kernel_thinning")

@@ -163,6 +163,27 @@ def test_annchor_looks_at_all_points(spark, monkeypatch, farthest):
     assert len(approx.ANNchor(SE, 30, 40).landmarks(from_arrays(spark, x[:5]))) == 5
 
 
+def test_greedy_kernel_points_tries_all_points(spark, monkeypatch):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(300, 3))
+    y = np.sin(2 * x[:, 0]) + x[:, 1]
+    p = from_arrays(spark, x, None, y)
+    monkeypatch.setattr(catalog, "embeddings", lambda *_, **__: p)
+    chosen = []
+    for _ in range(4):
+        loss = np.full(300, np.inf)
+        for j in set(range(300)) - set(chosen):
+            own = [*chosen, j]
+            fit = SE(x, x[own]) @ np.linalg.solve(SE(x[own], x[own]) + 1e-6 * np.eye(len(own)), y[own])
+            loss[j] = fit @ fit - 2 * fit @ y
+        chosen.append(int(np.argmin(loss)))
+    assert [r.id for r in catalog.greedy_kernel_points(spark, "").orderBy("pos").collect()] == chosen
+    monkeypatch.setattr(greedy, "ENTRIES", 2000)
+    assert solvers.GreedyKernelPoints(4, SE).reduce(p).indices() == chosen
+    few = solvers.GreedyKernelPoints(4, SE, candidate_batch=64).reduce(p).indices()
+    assert len(set(few)) == 4 and few != chosen
+
+
 def test_map_reduce(spark):
     x = np.random.default_rng(3).normal(size=(3000, 2))
     p = from_arrays(spark, x).spread(4)
