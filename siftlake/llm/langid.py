@@ -158,6 +158,15 @@ def train(rows: DataFrame, text: str, lang: str, id: str, per_language: int = PE
     return net
 
 
+def lettered(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Marks the texts that hold a letter of any script."""
+    total = np.concatenate(([0], np.cumsum(_LETTER[buf])))
+    letters = total[offsets[1:]] > total[offsets[:-1]]
+    for i in np.flatnonzero(~letters & (np.diff(offsets) > 0)):
+        letters[i] = any(c.isalpha() for c in bytes(buf[offsets[i] : offsets[i + 1]]).decode("utf-8", "replace"))
+    return letters
+
+
 def predict(docs: DataFrame, net: Network | None, text: str = "text", keep: list[str] | None = None) -> DataFrame:
     """(row, lang_pred, score): one row for each row of docs."""
     shared = docs.sparkSession.sparkContext.broadcast((net.compiled(), net.languages) if net else None)
@@ -165,10 +174,7 @@ def predict(docs: DataFrame, net: Network | None, text: str = "text", keep: list
     def run(column):
         buf, offsets = utf8(column)
         n = len(column)
-        total = np.concatenate(([0], np.cumsum(_LETTER[buf])))
-        letters = total[offsets[1:]] > total[offsets[:-1]]
-        for i in np.flatnonzero(~letters & (np.diff(offsets) > 0)):
-            letters[i] = any(c.isalpha() for c in bytes(buf[offsets[i] : offsets[i + 1]]).decode("utf-8", "replace"))
+        letters = lettered(buf, offsets)
         if shared.value is None:
             return [pa.array(["und"] * n, pa.string()), pa.array(np.zeros(n))]
         compiled, languages = shared.value
@@ -190,7 +196,9 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", id: str =
     return predict(docs, train(docs.where(fold(docs[id], folds) != held), text, lang, id), text, keep)
 
 
-def known(docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id", least: float = 0.3) -> DataFrame:
-    """docs without those of undetermined language: no letter, or no language with a mean probability of `least`."""
-    found = identify(docs, text, lang, id)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")
+def known(docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id", least: float = 0.3, folds: int = 4, held: int = 2) -> DataFrame:
+    """docs without those of undetermined language: no letter, or no language with a mean probability of `least`; where no row is labelled, without those that have no letter."""
+    net = train(docs.where(fold(docs[id], folds) != held), text, lang, id)
+    if net is None:
+        return annotate(docs, text, lambda column: [pa.array(lettered(*utf8(column)))], "letters boolean").where("letters").select("row.*")
+    return predict(docs, net, text).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")

@@ -13,6 +13,7 @@ import pytest
 import regex
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from siftlake.llm import decontaminate, jaccard, langid, licenses, multiset, ppm, preference, tokenpack, unigram, warc
 from siftlake.llm.components import components
 
@@ -345,6 +346,14 @@ def test_language(spark, docs, empty):
     assert {r.lang_pred for r in unlabelled.collect()} == {"und"}
 
 
+def test_language_stage_without_labels(spark, docs):
+    blank = docs.withColumn("lang", F.lit(None).cast("string"))
+    kept = corpus_pipeline.language(spark, blank, "")
+    assert kept.columns == docs.columns
+    assert rows_of(kept.select("doc_id", "text")) == rows_of(docs.where("text rlike '\\\\p{L}'").select("doc_id", "text"))
+    assert kept.count() > 8 and kept.where("doc_id in (1, 2, 3, 8)").count() == 0
+
+
 def test_network_matches_its_tables():
     net = langid.Network(["a", "b"])
     symbols = np.random.default_rng(0).integers(0, 128, (5, langid.WINDOW)).astype(np.uint8)
