@@ -433,8 +433,28 @@ def jaccard_components(docs: DataFrame, text: str = "text", id: str = "doc_id",
 
 
 def one_of_each(docs: DataFrame, text: str = "text", id: str = "doc_id") -> DataFrame:
-    """docs without all but the smallest id of each component; of repeated rows of that id one stays. Rows without an id stay."""
-    found = jaccard_components(docs, text, id)
-    stay = found.where("id = component").select(F.col("id").alias("stay")).distinct()
-    kept = docs.join(stay, docs[id].cast("long") == F.col("stay"), "left_semi")
-    return kept.dropDuplicates([id]).unionByName(docs.where(docs[id].isNull()))
+    """docs without all but one of each component: the smallest id, of its texts the smallest.
+
+    Repeated rows of an id and text count once; different texts under one id are documents of their own here.  Rows without an id stay.
+    """
+    key = max(docs.columns, key=len) + "_key"
+    keyed = docs.where(docs[id].isNotNull()).withColumn(key, docs[id].cast("long"))
+    words, none = F.coalesce(F.col(text).cast("string"), F.lit("")), docs.where(docs[id].isNull())
+    mixed = keyed.groupBy(F.col(key).alias("id")).agg(F.min(F.xxhash64(words)).alias("lo"), F.max(F.xxhash64(words)).alias("hi")).where("lo <> hi").select("id")
+    mixed = shared.written(mixed, "mixed")
+    if mixed.isEmpty():
+        found = jaccard_components(keyed, text, key)
+        stay = found.where("id = component").select(F.col("id").alias("stay")).distinct()
+    else:
+        # all but the smallest text of such an id get a key above all ids, ascending by id and text
+        most = keyed.agg(F.max(key)).first()[0]
+        texts = keyed.join(mixed, keyed[key] == mixed["id"]).select("id", words.alias("t")).distinct()
+        texts = texts.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy("t"))).where("rank > 1")
+        more = shared.written(texts.orderBy("id", "t").withColumn("to", F.monotonically_increasing_id() + F.lit(most + 1)), "more")
+        joined = keyed.alias("d").join(more.alias("m"), (F.col(f"d.{key}") == F.col("m.id")) & (F.coalesce(F.col(f"d.{text}").cast("string"), F.lit("")) == F.col("m.t")), "left")
+        keyed = joined.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.coalesce("m.to", f"d.{key}").alias(key))
+        found = jaccard_components(keyed, text, key).distinct().join(more.select(F.col("to").alias("id"), F.col("id").alias("own"), "rank"), "id", "left")
+        place = F.struct(F.coalesce("own", "id"), F.coalesce("rank", F.lit(1)), F.col("id").alias("key"))
+        stay = found.groupBy("component").agg(F.min(place).alias("first")).select(F.col("first.key").alias("stay"))
+    kept = keyed.join(stay, keyed[key] == F.col("stay"), "left_semi")
+    return kept.dropDuplicates([key]).drop(key).unionByName(none)

@@ -421,6 +421,21 @@ def test_one_of_each_keeps_columns_and_rows_without_id(docs, texts):
     assert set(ids) == want and sum(i is None for i in ids) == 2 and len([i for i in ids if i is not None]) == len(want - {None})
 
 
+def test_one_of_each_keeps_different_texts_of_one_id(spark):
+    rng = random.Random(12)
+    def text():
+        return " ".join(f"w{rng.randrange(10**6)}" for _ in range(40))
+    def near(t):
+        return t.rsplit(" ", 1)[0] + " z"
+    a, b, c, d, e, f, g = (text() for _ in range(7))
+    rows = [(0, a), (1, near(a)), (1, b), (3, c), (3, near(c)), (4, d), (4, d), (5, e), (5, f), (9, near(max(e, f))), (6, None), (6, ""), (6, g), (None, a)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    kept = jaccard.one_of_each(df)
+    assert kept.columns == df.columns
+    got = Counter((i, t or "") for i, t in map(tuple, kept.collect()))
+    assert got == Counter([(0, a), (1, b), (3, min(c, near(c))), (4, d), (5, e), (5, f), (6, ""), (6, g), (None, a)])
+
+
 def test_tree_keeps_every_pair_that_may_link():
     rng = np.random.default_rng(2)
     pool = np.unique(rng.integers(0, 2**63, 4000).astype(np.uint64))
