@@ -300,14 +300,16 @@ def candidates(ids: np.ndarray, n: np.ndarray, sign: list[bytes], component: np.
     """Pairs of a group that bitmaps and sizes allow to link and that no component joins yet.
 
     turn None: all of them; else for each set at most TRIES, with sets that stand for the group in that turn.
-    Sizes that can link differ by at most a third, so bitmaps' widths by a factor of two: trees hold two neighbouring widths, folded to the smaller.
+    Sizes that can link differ by a factor of 100 / threshold at most, so bitmaps' widths by the next power of two: trees hold the widths from one to that, folded to the smallest.
     """
     order = np.lexsort((ids, n))
     ids, n, component, sign = ids[order], n[order], component[order], [sign[i] for i in order]
     width = np.array([len(x) // 8 for x in sign])
-    out = []
+    out, reach = [], 1
+    while reach * threshold < 100:
+        reach *= 2
     for w in np.unique(width).tolist():
-        own = np.flatnonzero((width == w) | (width == 2 * w))
+        own = np.flatnonzero((width >= w) & (width <= reach * w))
         if len(own) < 2:
             continue
         bitmaps = np.stack([fold(np.frombuffer(sign[i], np.uint64)[None, :], w)[0] for i in own])

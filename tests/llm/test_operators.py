@@ -455,6 +455,16 @@ def test_tree_keeps_every_pair_that_may_link():
                 assert (j, i) in found
 
 
+@pytest.mark.parametrize("threshold", [20, 40])
+def test_low_thresholds_link_sets_of_distant_widths(threshold):
+    pool = np.unique(np.random.default_rng(3).integers(0, 2**63, 2000).astype(np.uint64))
+    for small in (10, 60, 200):
+        large = small * 100 // threshold
+        value, edge = np.concatenate((pool[:small], pool[:large])), np.array([0, small, small + large])
+        sign = jaccard.signatures(value, edge)
+        assert jaccard.candidates(np.arange(2), np.diff(edge), sign, np.arange(2), threshold, None), small
+
+
 def test_components_of_chains_and_stars(spark):
     links = [(i, i + 1) for i in range(100, 140)] + [(7, j) for j in range(200, 230)] + [(229, 5), (9, 9), (None, 3)]
     got = dict(map(tuple, components(spark.createDataFrame(links, "a long, b long")).collect()))
