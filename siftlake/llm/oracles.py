@@ -3,7 +3,30 @@
 FOLD = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 WORDS = rf"regexp_extract_all({FOLD}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+TOKENS = rf"regexp_extract_all({FOLD}, '[^\x20\x09-\x0D]+')"
+
 ORACLES = {
+    "op8_warc": """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+h AS (SELECT page_id, octet_length(body) AS n, sha1(body) AS hex FROM p),
+c AS (SELECT hex, max(page_id) AS top, count(*) AS k FROM h GROUP BY hex),
+b AS (SELECT hex, string_agg(CASE WHEN length(f) = 5 THEN substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(list_sum([CAST(f[i] AS INT) * CAST(pow(2, 5 - i) AS INT) FOR i IN range(1, 6)]) AS INT) + 1, 1) END, '' ORDER BY k) AS digest FROM
+ (SELECT hex, k, substr(bits, 5 * k + 1, 5) AS f FROM (SELECT hex, string_agg(substr('0000000100100011010001010110011110001001101010111100110111101111', 4 * (position(substr(hex, i, 1) IN '0123456789abcdef') - 1) + 1, 4), '' ORDER BY i) AS bits FROM (SELECT DISTINCT hex, unnest(range(1, 41)) AS i FROM c) GROUP BY hex), (SELECT unnest(range(0, 32)) AS k)) GROUP BY hex)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, digest AS payload_digest,
+CASE WHEN k > 1 AND top IS NOT NULL AND page_id IS DISTINCT FROM top THEN 'revisit' ELSE 'response' END AS record_type,
+CASE WHEN k > 1 AND top IS NOT NULL AND page_id IS DISTINCT FROM top THEN top END AS refers_to
+FROM h JOIN c USING (hex) JOIN b USING (hex)""",
+    "op10_jaccard_join": rf"""
+WITH RECURSIVE d AS (SELECT doc_id, {TOKENS} AS w FROM documents),
+g AS (SELECT doc_id, CASE WHEN len(w) < 5 THEN array_to_string(w, ' ') ELSE array_to_string(list_slice(w, i, i + 4), ' ') END AS x FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, x FROM g),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+common AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+link AS MATERIALIZED (SELECT a, b FROM common JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= 75 * (p.n + q.n - k)),
+e AS MATERIALIZED (SELECT a, b FROM link UNION ALL SELECT b, a FROM link),
+r(id, reach) AS (SELECT doc_id, doc_id FROM documents WHERE doc_id IS NOT NULL UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.reach),
+c AS (SELECT id, min(reach) AS component_id FROM r GROUP BY id)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, component_id FROM d LEFT JOIN n ON n.doc_id = d.doc_id LEFT JOIN c ON c.id = d.doc_id""",
     "op1_decontaminate": rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {WORDS} AS w FROM documents),
 b AS (SELECT coalesce(CAST(item_id AS VARCHAR), 'null') AS item, {WORDS} AS w FROM benchmark),

@@ -94,11 +94,43 @@ def counts_of(keys: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.nd
     return keys[at], n.astype(np.int64)
 
 
+def by_bucket(batches, kinds: tuple) -> Iterator[tuple[int, list]]:
+    """(bucket, columns) of rows that are sorted by bucket: each column unpacked and joined, or without a kind the list of its packed values."""
+    now, held = None, []
+
+    def done():
+        columns = list(zip(*held, strict=True))
+        return now, [list(c) if kind is None else np.concatenate([unpack(x, kind) for x in c]) for c, kind in zip(columns, kinds, strict=True)]
+
+    for batch in batches:
+        for b, *row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+            if b != now:
+                if held:
+                    yield done()
+                now, held = b, []
+            held.append(row)
+    if held:
+        yield done()
+
+
+def release() -> None:
+    """Gives the worker's freed memory back: workers are used again by later stages."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def deal(df: DataFrame, column: str = "bucket") -> DataFrame:
     return df.repartition(partitions(df.sparkSession), F.col(column))
 
 
-def annotate(df: DataFrame, text: str, function: Callable[[pa.Array], list[pa.Array]], schema: str, keep: list[str] | None = None, limit: int = 1 << 20) -> DataFrame:
+def annotate(df: DataFrame, text: str, function: Callable[[pa.Array], list[pa.Array]], schema: str, keep: list[str] | None = None, limit: int = 1 << 18) -> DataFrame:
     """Columns (row, *schema): row is a struct of the kept columns, so that no name of the input can clash.
 
     A comma inside a type of the schema is written as \\x1f.  function gets runs of about `limit` bytes of whole texts and returns one array for each column of the schema.
@@ -117,6 +149,7 @@ def annotate(df: DataFrame, text: str, function: Callable[[pa.Array], list[pa.Ar
             for part in slices(batch, "t", limit):
                 made = function(part.column(n))
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], *made], [*part.schema.names[:n], *(f"r{i}" for i in range(len(made)))])
+        release()
 
     out = given.mapInArrow(run, out_schema)
     return out.select(F.struct(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)]).alias("row"), *[F.col(f"r{i}").alias(c.strip()) for i, c in enumerate(names)])

@@ -31,7 +31,11 @@ NONSPACE = np.ones(256, bool)
 NONSPACE[9:14] = NONSPACE[32] = False
 
 
-@lru_cache(maxsize=4)
+@lru_cache(maxsize=1)
+def _short() -> tuple[np.ndarray, np.ndarray]:
+    return _powers(1 << 19)
+
+
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         p = np.full(n, _P, U64)
@@ -41,7 +45,8 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    return _powers(1 << max(16, int(n).bit_length()))
+    """The first n powers of the base and of its inverse, or more; kept for texts up to a length only."""
+    return _short() if n <= 1 << 19 else _powers(int(n))
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -65,7 +70,7 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return buf, offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Runs of rows whose texts have about `limit` bytes; a longer text stands alone."""
     if not batch.num_rows:
         return

@@ -14,7 +14,7 @@ import regex
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from siftlake.llm import decontaminate, jaccard, langid, licenses, multiset, ppm, preference, tokenpack, unigram, warc
+from siftlake.llm import decontaminate, jaccard, langid, licenses, multiset, ppm, preference, shared, tokenpack, unigram, warc
 from siftlake.llm.components import components
 
 FOLD = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
@@ -395,10 +395,9 @@ def test_jaccard_components_match_brute_force(spark, docs, texts, empty):
     assert jaccard.jaccard_components(empty).count() == 0
 
 
-def test_jaccard_components_of_drifting_copies(spark, monkeypatch):
-    """Chains of edits, a large group, a line that all texts share; few members a block."""
-    monkeypatch.setattr(jaccard, "GROUP", 16)
-    rng = random.Random(11)
+def drifting(seed):
+    """Chains of edits, a large group, a line that all texts share."""
+    rng = random.Random(seed)
     common = " ".join(f"line{i}" for i in range(12))
     rows, k = [], 0
     for _ in range(12):
@@ -409,10 +408,50 @@ def test_jaccard_components_of_drifting_copies(spark, monkeypatch):
             for _ in range(rng.choice([1, 2])):
                 now[rng.randrange(len(now))] = f"w{rng.randrange(10**6)}"
     rng.shuffle(rows)
+    return rows
+
+
+@pytest.mark.parametrize("group, named", [(2048, 256), (16, 256), (3, 256), (3, 8), (2048, 8)])
+def test_jaccard_components_of_drifting_copies(spark, monkeypatch, group, named):
+    """Few members a block, so that sets go up and block roots meet; frequent shingles that name their unit."""
+    monkeypatch.setattr(jaccard, "GROUP", group)
+    monkeypatch.setattr(jaccard, "NAMED", named)
+    monkeypatch.setattr(jaccard, "FILTER_BITS", 1 << 28 if group == 16 else 0)
+    rows = drifting(11)
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     assert rows_of(jaccard.jaccard_components(df)) == brute_components(rows)
 
 
+def test_every_link_of_different_texts_comes_through_the_trees(spark, monkeypatch):
+    """As many links as join the sets to their components, all of them found at leaves of trees, none twice."""
+    rows = drifting(11)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    found, followed = [], jaccard._followed
+    monkeypatch.setattr(jaccard, "_followed", lambda *a: found.append(shared.written(followed(*a), "found")) or found[-1])
+    want = brute_components(rows)
+    assert rows_of(jaccard.jaccard_components(df)) == want
+    joined = len({shingle_set(t) for _, t in rows}) - len({c for _, _, c in want})
+    assert joined > 20 and sum(x.count() for x in found) >= joined
+
+
+def test_a_third_of_all_rows_in_one_group(spark, monkeypatch):
+    """Near copies and exact ones share frequent shingles; the groups are cut into blocks and yet whole."""
+    monkeypatch.setattr(jaccard, "GROUP", 20)
+    monkeypatch.setattr(jaccard, "NAMED", 16)
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(40)]
+    rows = []
+    for k in range(300):
+        words = [f"v{rng.randrange(10**6)}" for _ in range(30)]
+        if k % 3 == 0:
+            words = list(base)
+            for _ in range(k % 4):
+                words[rng.randrange(40)] = f"e{rng.randrange(10**6)}"
+        rows.append((k, " ".join(words)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    assert rows_of(jaccard.jaccard_components(df)) == brute_components(rows)
+
+
 def test_one_of_each_keeps_columns_and_rows_without_id(docs, texts):
     kept = jaccard.one_of_each(docs)
     assert kept.columns == docs.columns
@@ -436,33 +475,59 @@ def test_one_of_each_keeps_different_texts_of_one_id(spark):
     assert got == Counter([(0, a), (1, b), (3, min(c, near(c))), (4, d), (5, e), (5, f), (6, ""), (6, g), (None, a)])
 
 
-def test_tree_keeps_every_pair_that_may_link():
-    rng = np.random.default_rng(2)
+def some_sets(seed):
+    rng = np.random.default_rng(seed)
     pool = np.unique(rng.integers(0, 2**63, 4000).astype(np.uint64))
     sets = []
-    for _ in range(30):
+    for _ in range(40):
         base = rng.choice(pool, rng.integers(5, 60), replace=False)
-        sets.append(np.sort(base))
-        sets.append(np.sort(base[: int(len(base) * 0.9)]))
-    n = np.array([len(s) for s in sets])
-    edge = np.concatenate(([0], np.cumsum(n)))
-    sign = jaccard.signatures(np.concatenate(sets), edge)
-    found = set(map(tuple, map(sorted, jaccard.candidates(np.arange(60), n, sign, np.arange(60), 75, None))))
-    for i in range(60):
-        for j in range(i):
+        sets += [np.sort(base), np.sort(base[: int(len(base) * 0.9)])]
+    return sorted(sets, key=len)
+
+
+@pytest.mark.parametrize("threshold", [20, 40, 75, 100])
+@pytest.mark.parametrize("other", [0, 1, 37])
+def test_followed_trees_join_what_links(threshold, other):
+    """One tree with itself, or two: the same components as all pairs of sets make."""
+    sets = some_sets(threshold)
+    n, split = len(sets), len(sets) - other
+    want = {i: {i} for i in range(n)}
+    for i in range(n):
+        for j in range(i + 1, n):
             common = len(np.intersect1d(sets[i], sets[j]))
-            if 100 * common >= 75 * (n[i] + n[j] - common):
-                assert (j, i) in found
-
-
-@pytest.mark.parametrize("threshold", [20, 40])
-def test_low_thresholds_link_sets_of_distant_widths(threshold):
+            if (not other or i < split <= j) and 100 * common >= threshold * (len(sets[i]) + len(sets[j]) - common):
+                both = want[i] | want[j]
+                for k in both:
+                    want[k] = both
+    join = jaccard.joined_sets(sets, np.arange(n), threshold, other)
+    links = join.run(chunk=50)
+    assert len(links) == n - len({min(x) for x in want.values()}) and (other or join.pairs < n * (n - 1) / 4)
+    assert all((join.component[i] == join.component[j]) == (j in want[i]) for i in range(n) for j in range(n))
+
+
+@pytest.mark.parametrize("threshold", [20, 40, 75, 100])
+def test_bitmaps_lose_no_link(threshold):
+    """What links lies in one component of what may link, whatever the widths of the bitmaps."""
     pool = np.unique(np.random.default_rng(3).integers(0, 2**63, 2000).astype(np.uint64))
-    for small in (10, 60, 200):
-        large = small * 100 // threshold
-        value, edge = np.concatenate((pool[:small], pool[:large])), np.array([0, small, small + large])
-        sign = jaccard.signatures(value, edge)
-        assert jaccard.candidates(np.arange(2), np.diff(edge), sign, np.arange(2), threshold, None), small
+    sets = some_sets(threshold) + [pool[: k * 100 // t] for k in (10, 60, 200) for t in (threshold, 100)]
+    edge = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+    sign = jaccard.signatures(np.concatenate(sets), edge)
+    got = {i: {i} for i in range(len(sets))}
+    links = jaccard.may_join(np.arange(len(sets)), np.diff(edge), sign, threshold)
+    for i, j in links:
+        assert not got[i] & got[j]
+        both = got[i] | got[j]
+        for k in both:
+            got[k] = both
+    for i, x in enumerate(sets):
+        for j, y in enumerate(sets):
+            assert not jaccard.similar(x, y, threshold) or j in got[i]
+
+
+def test_trees_skip_what_is_one_component():
+    sets = some_sets(5)
+    join = jaccard.joined_sets(sets, np.zeros(len(sets), int), 75)
+    assert join.run() == [] and join.pairs == join.compared == 0
 
 
 def test_components_of_chains_and_stars(spark):
