@@ -35,8 +35,8 @@ class Kernel:
     def __call__(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         raise NotImplementedError
 
-    def diagonal(self, x: np.ndarray) -> np.ndarray:
-        return np.concatenate([np.zeros(0), *(self(x[i : i + 1], x[i : i + 1])[0] for i in range(len(x)))])
+    def diagonal(self, x: np.ndarray, block: int = 32) -> np.ndarray:
+        return np.concatenate([np.zeros(0), *(np.diagonal(self(x[i : i + block], x[i : i + block])) for i in range(0, len(x), block))])
 
     def sql(self, r: str, l1: str, dot: str) -> str:
         """The kernel as SQL; r, l1 and dot are expressions for the distances and the inner product."""
@@ -448,13 +448,22 @@ class Stein(Kernel):
         if isinstance(self.base, (Exponential, Laplacian)) or isinstance(self.base, Matern) and self.base.degree == 0:
             raise ValueError("the base kernel must be differentiable where x = y")
 
-    def __call__(self, x, y, chunk: int = 256):
-        sx, sy = self.score(x), self.score(y)
+    def __call__(self, x, y):
+        return self.between(x, self.score(x), y, self.score(y))
+
+    def between(self, x, sx, y, sy, entries: int = 1 << 16):
+        """The same with the scores sx, sy of the rows of x and y, in blocks of about `entries` pairs."""
         out = np.empty((len(x), len(y)))
+        chunk = max(1, entries // max(1, len(y)))
         for lo in range(0, len(x), chunk):
             a, s = x[lo : lo + chunk], sx[lo : lo + chunk]
             out[lo : lo + chunk] = self.base.divergence(a, y) + np.einsum("ijk,jk->ij", self.base.grad_x(a, y), sy) + np.einsum("ijk,ik->ij", self.base.grad_y(a, y), s) + self.base(a, y) * (s @ sy.T)
         return out
 
     def diagonal(self, x):
-        return np.concatenate([np.zeros(0), *(self(x[i : i + 1], x[i : i + 1])[0] for i in range(len(x)))])
+        return self.own(x, self.score(x))
+
+    def own(self, x, sx, block: int = 32):
+        """k(x, x) of rows with their scores, from diagonals of small blocks."""
+        cut = range(0, len(x), block)
+        return np.concatenate([np.zeros(0), *(np.diagonal(self.between(x[i : i + block], sx[i : i + block], x[i : i + block], sx[i : i + block])) for i in cut)])

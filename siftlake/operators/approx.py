@@ -31,7 +31,7 @@ class Approximate:
 
     def __post_init__(self):
         if self.kernel_points < 1 or self.train_points < 1:
-            raise ValueError("'num_kernel_points' and 'num_train_points' must be positive")
+            raise ValueError(f"kernel_points is {self.kernel_points} and train_points {self.train_points}; both are 1 or more")
 
     def landmarks(self, p: Points) -> np.ndarray:
         raise NotImplementedError

@@ -40,24 +40,26 @@ def jmmd(reference: Points, other: Points, feature: Kernel, response: Kernel, d:
     return mmd(reference.joined(), other.joined(), PairKernel(feature, response, d))
 
 
-def ksd(reference: Points, other: Points, stein: Kernel, laplace=None, entropic: bool = False, limit: int = 100_000) -> float:
-    """Kernel Stein discrepancy of `other`; laplace: rows -> sums of positive second derivatives of the log density."""
+def ksd(reference: Points, other: Points, stein: Kernel, laplace=None, entropic: bool = False) -> float:
+    """Kernel Stein discrepancy of `other`; laplace: rows -> sums of positive second derivatives of the log density.
+
+    The extra terms are evaluated on the executors; the entropic one broadcasts the reference, whose size is checked.
+    """
     value = _mean(other, other, stein)
-    if laplace is None and not entropic:
-        return _root(value)
-    y = other.local()
     if laplace is not None:
-        value += laplace(y.x).sum() / len(y) ** 2
+        extra = pairwise.evaluated(other, laplace, 1)[:, 0]
+        value += extra.sum() / len(extra) ** 2
     if entropic:
         x = reference.local()
-        value -= kde_log(x.x, x.w, y.x).mean() / len(y)
+        log = pairwise.evaluated(other, lambda at: kde_log(x.x, x.w, at), 1)[:, 0]
+        value -= log.mean() / len(log)
     return _root(value)
 
 
 def amcmd(reference: Points, other: Points, feature: Kernel, response: Kernel, reg: float = 1e-6, weighting: Points | None = None, limit: int = 5_000) -> float:
     """Average maximum conditional mean discrepancy: dense solves of both sizes, so both are checked."""
     if reg < 0:
-        raise ValueError("'regularisation_parameter' must not be negative")
+        raise ValueError(f"reg is {reg}; a negative one has no meaning here")
     for p in (reference, other):
         if p.count() > limit:
             raise ValueError(f"conditional means need dense systems; at most {limit} points each")

@@ -14,6 +14,8 @@ from siftlake.sources.points import Local, Points
 
 #: Bytes of one side that is broadcast at once; a larger side is taken in blocks.
 BLOCK_BYTES = 32 << 20
+#: Rows of the broadcast side and pairs that a task evaluates at once.
+TILE_ROWS, TILE_PAIRS = 1024, 1 << 18
 
 
 def distances(d: int, a: str = "a.x", b: str = "b.x") -> tuple[str, str, str]:
@@ -48,8 +50,21 @@ def matrix(column) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
 
+def tiled(function, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
+    """function(a, b, w) tile by tile: its results are one row for each of a, sums over b."""
+    step = max(1, TILE_PAIRS // max(1, min(len(b), TILE_ROWS)))
+    rows = []
+    for lo in range(0, max(1, len(a)), step):
+        total = None
+        for k in range(0, max(1, len(b)), TILE_ROWS):
+            got = function(a[lo : lo + step], b[k : k + TILE_ROWS], w[k : k + TILE_ROWS])
+            total = got if total is None else tuple(p + q for p, q in zip(total, got, strict=True))
+        rows.append(total)
+    return tuple(np.concatenate(c) for c in zip(*rows, strict=True))
+
+
 def weighted_sums(x: Points, y: Points, function, schema: str, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(_idx, w, *schema): function(x rows, y rows, y weights) returns a column array for each name; blocks of y are added up.
+    """(_idx, w, *schema): function(x rows, y rows, y weights) returns a column array for each name, sums over y; tiles and blocks of y are added up.
 
     y is broadcast in blocks of a bounded size, and each block meets all of x in one pass without a shuffle.
     """
@@ -62,7 +77,7 @@ def weighted_sums(x: Points, y: Points, function, schema: str, block_bytes: int
         def run(batches, shared=shared):
             for batch in batches:
                 if batch.num_rows:
-                    got = function(matrix(batch.column(1)), *shared.value)
+                    got = tiled(function, matrix(batch.column(1)), *shared.value)
                     columns = [pa.array(list(c)) if c.ndim > 1 else pa.array(c) for c in got]
                     yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), *columns], ["_idx", "w", *names])
 
@@ -76,6 +91,19 @@ def weighted_sums(x: Points, y: Points, function, schema: str, block_bytes: int
     return out
 
 
+def evaluated(p: Points, function, width: int) -> np.ndarray:
+    """function(rows) -> array of `width` columns, on all executors in small runs of rows; the values in this process, by ascending _idx."""
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                x = matrix(batch.column(1))
+                got = np.concatenate([np.asarray(function(x[i : i + 256]), float).reshape(-1, width) for i in range(0, len(x), 256)])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([r.tobytes() for r in got], pa.binary())], ["_idx", "v"])
+
+    rows = p.df.select("_idx", "x").mapInArrow(run, f"_idx {dict(p.df.dtypes)['_idx']}, v binary").orderBy("_idx").toArrow()
+    return np.frombuffer(b"".join(rows["v"].to_pylist()), float).reshape(-1, width)
+
+
 def row_mean(x: Points, y: Points, kernel: Kernel, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(_idx, w, mean): of each x the weighted mean of k(x, y) over y (axis 1)."""
     total = y.df.agg(F.sum("w")).first()[0]

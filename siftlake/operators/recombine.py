@@ -4,11 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 
+from siftlake.functions.linalg import cutoff
+
 
 def _null_basis(a: np.ndarray, rcond: float | None) -> np.ndarray:
     """Rows b with b @ a = 0, for n x q values a."""
     u, s, _ = np.linalg.svd(a, full_matrices=True)
-    cut = (np.finfo(float).eps * max(a.shape) if rcond is None else np.finfo(float).eps if rcond == -1 else rcond) * (s[0] if len(s) else 0)
+    cut = cutoff(rcond, max(a.shape)) * (s[0] if len(s) else 0)
     return u.T[int((s > cut).sum()) :]
 
 
@@ -17,8 +19,6 @@ def caratheodory(values: np.ndarray, w: np.ndarray, rcond: float | None = None)
 
     Each step moves along a null direction until a weight is zero, and takes that point out of the other directions.
     """
-    if rcond is not None and rcond < 0 and rcond != -1:
-        raise ValueError("'rcond' must not be negative, except for -1")
     out, own = np.zeros(len(w)), np.flatnonzero(w > 0)
     v = w[own].astype(float)
     basis = _null_basis(np.column_stack((np.ones(len(own)), values[own])), rcond)[::-1].copy()
@@ -45,7 +45,7 @@ def caratheodory(values: np.ndarray, w: np.ndarray, rcond: float | None = None)
 def tree(values: np.ndarray, w: np.ndarray, factor: int = 2, rcond: float | None = None) -> np.ndarray:
     """The same by centroids of factor * (tests + 1) groups of points again and again, each round keeping few groups."""
     if factor < 2:
-        raise ValueError("'tree_reduction_factor' must be at least 2")
+        raise ValueError(f"factor is {factor}; groups of points shrink from a factor of 2 on")
     out, own = np.zeros(len(w)), np.flatnonzero(w > 0)
     v = w[own].astype(float)
     groups = factor * (values.shape[1] + 1)

@@ -8,29 +8,33 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftlake.functions.kernels import Kernel, SquaredExponential, Stein
-from siftlake.functions.linalg import LeastSquares
+from siftlake.functions.linalg import LeastSquares, MinimalNorm
 from siftlake.operators import greedy, pairwise, recombine, weights
 from siftlake.operators.metrics import mmd
-from siftlake.operators.score import laplace_correction, stein_kernel
+from siftlake.operators.score import KdeScore, laplace_correction, stein_kernel
 from siftlake.sources.points import Local, Points, uniform
+from siftlake.sources.tables import discard, written
+
+#: Pairs of points that one process evaluates by itself; more are dealt to the executors.
+LOCAL_PAIRS = 1 << 26
 
 
 @dataclass(frozen=True)
 class Coreset:
-    """Chosen points (pos, _idx, w) of `pre`, in the order of choice; _idx may repeat."""
+    """Chosen points (pos, _idx, w) of `pre`, in the order of choice; _idx may repeat. few: the picks came through this process."""
 
     picks: DataFrame
     pre: Points
+    few: bool = True
 
     def points(self) -> Points:
         rest = self.pre.df.drop("w")
-        return Points(rest.join(F.broadcast(self.picks), "_idx").orderBy("pos").select("pos", *[c for c in ("_idx", "x", "w", "y") if c in (*rest.columns, "w")]))
+        return Points(rest.join(F.broadcast(self.picks) if self.few else self.picks, "_idx").orderBy("pos").select("pos", *[c for c in ("_idx", "x", "w", "y") if c in (*rest.columns, "w")]))
 
     def __len__(self) -> int:
         return self.picks.count()
@@ -90,6 +94,7 @@ class RandomSample(Solver):
     seed: int = 0
     weighted: bool = False
     unique: bool = True
+    bucket_rows: int = 1_000_000  # rows whose running sum one task makes, with replacement
 
     def choose(self, data):
         rng = np.random.default_rng(self.seed)
@@ -104,14 +109,18 @@ class RandomSample(Solver):
             idx = [r[0] for r in usable.select("_idx", order.alias("o")).orderBy("o", "_idx").limit(self.size).collect()]
             greedy.check_size(max(len(idx), 1), len(idx), self.size, True)
             return Coreset(_picks(p, idx), p)
-        buckets = 64
-        rows = p.df.where("w > 0").select("_idx", F.pmod(F.xxhash64("_idx"), F.lit(buckets)).alias("b"), F.col("w") if self.weighted else F.lit(1.0).alias("w"))
+        usable = p.df.where("w > 0")
+        buckets = max(64, math.ceil(usable.count() / self.bucket_rows))
+        rows = usable.select("_idx", F.pmod(F.xxhash64("_idx"), F.lit(buckets)).alias("b"), F.col("w") if self.weighted else F.lit(1.0).alias("w"))
         mass = {r[0]: r[1] for r in rows.groupBy("b").agg(F.sum("w")).collect()}
         keys, rng = sorted(mass), np.random.default_rng(self.seed)
         total = np.array([mass[k] for k in keys])
         of = rng.choice(len(keys), self.size, p=total / total.sum())
         draws = p.df.sparkSession.createDataFrame([(i, keys[k], float(rng.random() * total[k])) for i, k in enumerate(of.tolist())], "pos int, b long, at double")
-        upto = rows.withColumn("hi", F.sum("w").over(Window.partitionBy("b").orderBy("_idx"))).withColumn("lo", F.col("hi") - F.col("w"))
+        drawn = rows.join(F.broadcast(draws.select("b").distinct()), "b", "left_semi")
+        order = Window.partitionBy("b").orderBy("_idx")
+        upto = drawn.withColumn("hi", F.sum("w").over(order)).withColumn("lo", F.coalesce(F.lag("hi").over(order), F.lit(0.0)))
+        upto = upto.withColumn("hi", F.when(F.lead("w").over(order).isNull(), F.lit(math.inf)).otherwise(F.col("hi")))  # rounding loses no draw
         got = upto.join(F.broadcast(draws), "b").where("at >= lo and at < hi").select("pos", "_idx", F.lit(1.0).alias("w"))
         return Coreset(got, p)
 
@@ -133,14 +142,27 @@ class KernelHerding(Solver):
     def choose(self, data):
         return self._run(data)
 
+    def _mean(self, p: Points, data: Local) -> np.ndarray | None:
+        """The kernel means of many points, from the executors; None for few."""
+        if len(data) ** 2 <= LOCAL_PAIRS:
+            return None
+        rows = pairwise.gramian_row_mean(p, self.kernel).select("_idx", "mean").orderBy("_idx").toArrow()
+        return rows["mean"].to_numpy()
+
+    def reduce(self, p: Points) -> Coreset:
+        data = p.local()
+        greedy.check_size(len(data), int((data.w > 0).sum()), self.size, self.unique)
+        return Coreset(_picks(p, data.idx[self._run(data, None, self._mean(p, data))]), p)
+
     def refine(self, coreset: Coreset) -> Coreset:
         data = coreset.pre.local()
-        return replace(coreset, picks=_picks(coreset.pre, data.idx[self._run(data, self._positions(data, coreset))]))
+        chosen = self._run(data, self._positions(data, coreset), self._mean(coreset.pre, data))
+        return replace(coreset, picks=_picks(coreset.pre, data.idx[chosen]))
 
     def reduce_iterative(self, p: Points, iterations: int, temperatures: list[float] | None = None) -> Coreset:
         data = p.local()
         schedule = temperatures or ([self.temperature] * iterations if self.probabilistic else None)
-        idx = greedy.iterative_herding(data.x, data.w, self.size, self.kernel, iterations, schedule, self.unique, self.seed)
+        idx = greedy.iterative_herding(data.x, data.w, self.size, self.kernel, iterations, schedule, self.unique, self.seed, self._mean(p, data))
         return Coreset(_picks(p, data.idx[idx]), p)
 
 
@@ -149,6 +171,9 @@ class IterativeKernelHerding(KernelHerding):
     iterations: int = 1
     temperatures: list[float] | None = None
 
+    def reduce(self, p):
+        return self.reduce_iterative(p, self.iterations, self.temperatures)
+
     def choose(self, data):
         schedule = self.temperatures or ([self.temperature] * self.iterations if self.probabilistic else None)
         return greedy.iterative_herding(data.x, data.w, self.size, self.kernel, self.iterations, schedule, self.unique, self.seed)
@@ -166,17 +191,39 @@ class SteinThinning(Solver):
     weight: float | None = None
     density: str | float = "scott"
 
-    def _run(self, data: Local, chosen=None):
+    def _run(self, data: Local, chosen=None, p: Points | None = None):
+        """Scores, Laplace terms and log densities once for all points: on the executors if p is given and they are many."""
         kernel = stein_kernel(data.x, self.kernel, self.score)
-        laplace = laplace_correction(kernel.score)(data.x) if self.regularise else None
-        return greedy.stein(data.x, data.w, self.size, kernel, self.unique, self.weight if self.regularise else 0.0, laplace, self.density, chosen)
+        d, score, weight = data.x.shape[1], kernel.score, self.weight if self.regularise else 0.0
+        weight = 1 / self.size if weight is None else weight
+        regularise, density, x, w = self.regularise, self.density, data.x, data.w
+
+        def terms(at):
+            laplace, log = np.zeros(len(at)), np.zeros(len(at))
+            if regularise and isinstance(score, KdeScore):
+                s, laplace = score.with_curvature(at)
+            else:
+                s = score(at)
+                laplace = laplace_correction(score)(at) if regularise else laplace
+            if weight:
+                log = greedy.kde_log(x, w, at, density)
+            return np.column_stack((s, laplace, log))
+
+        many = p is not None and len(data) ** 2 > LOCAL_PAIRS
+        got = pairwise.evaluated(p, terms, d + 2) if many else terms(x)
+        return greedy.stein(x, w, self.size, kernel, self.unique, weight, got[:, d], density, chosen, np.ascontiguousarray(got[:, :d]), got[:, d + 1])
 
     def choose(self, data):
         return self._run(data)
 
+    def reduce(self, p: Points) -> Coreset:
+        data = p.local()
+        greedy.check_size(len(data), int((data.w > 0).sum()), self.size, self.unique)
+        return Coreset(_picks(p, data.idx[self._run(data, p=p)]), p)
+
     def refine(self, coreset: Coreset) -> Coreset:
         data = coreset.pre.local()
-        return replace(coreset, picks=_picks(coreset.pre, data.idx[self._run(data, self._positions(data, coreset))]))
+        return replace(coreset, picks=_picks(coreset.pre, data.idx[self._run(data, self._positions(data, coreset), coreset.pre)]))
 
 
 @dataclass
@@ -201,14 +248,60 @@ class GreedyKernelPoints(Solver):
     seed: int = 0
     solver: LeastSquares | None = None
 
-    def choose(self, data):
+    def _run(self, data: Local, chosen=None, p: Points | None = None) -> np.ndarray:
+        """Tries the candidates of a place on the executors if p is given and they are many."""
         if data.y is None:
             raise ValueError("greedy kernel points need responses")
-        rng = np.random.default_rng(self.seed)
-        if self.candidate_batch is not None and self.candidate_batch > len(data):
-            raise ValueError("'candidate_batch_size' must not be larger than the number of points")
-        pool = None if self.candidate_batch is None else lambda i: rng.permutation(len(data))[: self.candidate_batch]
-        return greedy.greedy_kernel_points(data.x, data.y, data.w, self.size, self.kernel, self.reg, self.unique, pool, self.solver)
+        pool = search = None
+        if self.candidate_batch is not None:
+            batches = batch_indices(len(data), self.candidate_batch, self.size, self.seed)
+            pool = lambda i: batches[i]
+        if p is not None and len(data) * min(len(data), self.candidate_batch or len(data)) > LOCAL_PAIRS:
+            search = self._search(data, p)
+        return greedy.greedy_kernel_points(data.x, data.y, data.w, self.size, self.kernel, self.reg, self.unique, pool, self.solver, chosen, search)
+
+    def _search(self, data: Local, p: Points):
+        """Each task tries its share of the candidates on all points, which are broadcast once (their size is checked by local())."""
+        spark = p.df.sparkSession
+        shared = spark.sparkContext.broadcast((data.x, data.y[:, 0]))
+        kernel, reg, solver = self.kernel, self.reg, self.solver or MinimalNorm()
+        tasks = 4 * spark.sparkContext.defaultParallelism
+
+        def search(have, pool):
+            parts = [pool[i::tasks] for i in range(tasks) if len(pool[i::tasks])]
+
+            def run(batches):
+                x, target = shared.value
+                for batch in batches:
+                    for i in batch.column(0).to_pylist():
+                        loss, at = greedy.best_point(x, target, have, parts[i], kernel, reg, solver)
+                        yield pa.RecordBatch.from_arrays([pa.array([loss]), pa.array([at], pa.int64())], ["loss", "at"])
+
+            tried = spark.range(0, len(parts), 1, len(parts)).mapInArrow(run, "loss double, at long")
+            return tuple(tried.where("at >= 0").agg(F.min(F.struct("loss", "at")).alias("best")).select("best.*").first())
+
+        return search
+
+    def choose(self, data):
+        return self._run(data)
+
+    def reduce(self, p: Points) -> Coreset:
+        data = p.local()
+        greedy.check_size(len(data), int((data.w > 0).sum()), self.size, self.unique)
+        return Coreset(_picks(p, data.idx[self._run(data, p=p)]), p)
+
+    def refine(self, coreset: Coreset) -> Coreset:
+        """Each place in turn gets the point that is best with all others kept."""
+        data = coreset.pre.local()
+        return replace(coreset, picks=_picks(coreset.pre, data.idx[self._run(data, self._positions(data, coreset), coreset.pre)]))
+
+
+def batch_indices(n: int, size: int, batches: int, seed: int = 0) -> np.ndarray:
+    """A row of `size` different positions below n for each batch."""
+    if not 0 <= size <= n:
+        raise ValueError(f"a batch of {size} different ones of {n} positions")
+    rng = np.random.default_rng(seed)
+    return np.stack([rng.permutation(n)[:size] for _ in range(batches)]) if batches else np.zeros((0, size), np.int64)
 
 
 def _root_kernel(kernel: Kernel, given: Kernel | None, d: int) -> Kernel:
@@ -252,7 +345,7 @@ class Recombination:
 
     def __post_init__(self):
         if self.mode not in ("implicit-explicit", "implicit", "explicit"):
-            raise ValueError("'mode' must be implicit-explicit, implicit or explicit")
+            raise ValueError(f"mode is {self.mode!r}; there are implicit-explicit, implicit and explicit")
 
     def _values(self, x):
         return x if self.tests is None else np.asarray(self.tests(x)).reshape(len(x), -1)
@@ -277,48 +370,69 @@ class Caratheodory(Recombination):
 
 @dataclass
 class TreeRecombination(Recombination):
-    """By centroids: each round adds up weights and test values of hashed groups on all executors and solves the groups' small system."""
+    """By centroids: each round adds up weights and test values of hashed groups on all executors and solves the groups' small system.
+
+    A round keeps the points of one group in `factor`, at least; as many as MOST groups make one round enough where
+    that can be. The rows that a round keeps are written, so none is evaluated twice.
+    """
 
     factor: int = 2
 
-    def reduce(self, p: Points, local_rows: int = 50_000) -> Coreset:
+    def reduce(self, p: Points, local_rows: int = 50_000, most: int = 512) -> Coreset:
         if self.factor < 2:
-            raise ValueError("'tree_reduction_factor' must be at least 2")
+            raise ValueError(f"factor is {self.factor}; groups of points shrink from a factor of 2 on")
         tests = self.tests
-        first = p.df.where("w > 0").limit(1).toArrow()
+        rows = p.df.where("w > 0").select("_idx", "x", "w")
+        first = rows.limit(1).toArrow()
+        if not first.num_rows:
+            raise ValueError("no point has a positive weight")
         q = self._values(Local.of(first).x).shape[1]
-        groups, turn = self.factor * (q + 1), 0
-        total, n = p.df.where("w > 0").agg(F.sum("w"), F.count("*")).first()
-        rows = p.df.where("w > 0").select("_idx", "x", (F.col("w") / F.lit(total)).alias("w"))
-        while n > local_rows:
+        n, total, turn, before = None, 1.0, 0, None
+        while n is None or n > local_rows:
+            # the first round does not know the number of points, so it takes as many groups as it may
+            need = most if n is None else 2 * math.ceil(n / local_rows) * (q + 1)
+            groups = max(self.factor * (q + 1), min(most, need))
             group = F.pmod(F.xxhash64("_idx", F.lit(turn)), F.lit(groups)).cast("int")
 
-            def add(batches):
-                mass, value = np.zeros(groups), np.zeros((groups, q))
+            def add(batches, groups=groups):
+                mass, value, count = np.zeros(groups), np.zeros((groups, q)), np.zeros(groups, np.int64)
                 for batch in batches:
                     if batch.num_rows:
                         of, x, w = np.asarray(batch.column(0)), pairwise.matrix(batch.column(1)), np.asarray(batch.column(2))
                         v = x if tests is None else np.asarray(tests(x)).reshape(len(x), -1)
+                        count += np.bincount(of, minlength=groups)
                         mass += np.bincount(of, w, groups)
-                        np.add.at(value, of, v * w[:, None])
-                at = np.flatnonzero(mass)
-                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(mass[at]), pa.array(list(value[at]), pa.list_(pa.float64()))], ["g", "mass", "value"])
-
-            sums = rows.select(group.alias("g"), "x", "w").mapInArrow(add, "g int, mass double, value array<double>").groupBy("g").agg(F.sum("mass").alias("mass"), *[F.sum(F.col("value")[i]).alias(f"v{i}") for i in range(q)]).collect()
+                        for j in range(q):
+                            value[:, j] += np.bincount(of, v[:, j] * w, groups)
+                at = np.flatnonzero(count)
+                yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(count[at]), pa.array(mass[at]), pa.array(list(value[at]), pa.list_(pa.float64()))], ["g", "n", "mass", "value"])
+
+            sums = rows.select(group.alias("g"), "x", "w").mapInArrow(add, "g int, n long, mass double, value array<double>")
+            sums = sums.groupBy("g").agg(F.sum("n").alias("n"), F.sum("mass").alias("mass"), *[F.sum(F.col("value")[i]).alias(f"v{i}") for i in range(q)]).collect()
+            if n is None:
+                n, total = sum(r.n for r in sums), sum(r.mass for r in sums)
+                if n <= local_rows:
+                    break
             mass = np.array([r.mass for r in sums])
             centre = np.array([[r[f"v{i}"] for i in range(q)] for r in sums]) / mass[:, None]
             kept = recombine.caratheodory(centre, mass, self.rcond)
-            scale = {r.g: float(k / m) for r, k, m in zip(sums, kept, mass, strict=True)}
-            factor = F.element_at(F.array(*[F.lit(scale.get(g, 0.0)) for g in range(groups)]), group + 1)
-            rows = rows.withColumn("w", F.col("w") * factor).where("w > 0")
-            before, n, turn = n, rows.count(), turn + 1
-            if n >= before:
+            scale = {r.g: float(k / m) for r, k, m in zip(sums, kept, mass, strict=True) if k > 0}
+            left = sum(r.n for r in sums if r.g in scale)
+            if left >= n:
                 break
+            own = F.create_map(*[F.lit(v) for pair in scale.items() for v in pair])
+            old, before = before, written(rows.withColumn("g", group).where(F.col("g").isin(list(scale))).select("_idx", "x", (F.col("w") * own[F.col("g")]).alias("w")), "recombined")
+            if old is not None:
+                discard(old)
+            rows, n, turn = before, left, turn + 1
         data = Points(rows).local()
-        w = recombine.tree(self._values(data.x), data.w, self.factor, self.rcond)
+        if before is not None:
+            discard(before)
+        w = recombine.tree(self._values(data.x), data.w / total, self.factor, self.rcond)
         if self.mode == "implicit":
-            picked = p.df.select("_idx").join(Points(p.df.sparkSession.createDataFrame(list(zip(data.idx.tolist(), w.tolist(), strict=True)), f"_idx {dict(p.df.dtypes)['_idx']}, w double")).df, "_idx", "left")
-            return Coreset(picked.select(F.row_number().over(Window.orderBy("_idx")).alias("pos"), "_idx", F.coalesce("w", F.lit(0.0)).alias("w")), p)
+            kept = Points(p.df.sparkSession.createDataFrame(list(zip(data.idx.tolist(), w.tolist(), strict=True)), f"_idx {dict(p.df.dtypes)['_idx']}, w double")).df
+            picked = p.df.select("_idx").join(F.broadcast(kept), "_idx", "left").orderBy("_idx")  # local_rows rows at most
+            return Coreset(picked.select(F.monotonically_increasing_id().alias("pos"), "_idx", F.coalesce("w", F.lit(0.0)).alias("w")), p, few=False)
         return self._result(p, data, w)
 
 
@@ -355,9 +469,11 @@ def place(x: np.ndarray, nodes: list[tuple[int, float]]) -> np.ndarray:
 class MapReduce:
     """Reduces each part of a space-splitting tree with `base`, then the union of what is left, until one part remains.
 
-    The tree is fitted on a sample of at most sample_rows points and has at most one leaf for 32 of them; more parts
-    than that are made by hashing inside a leaf. A part is one group of at most about leaf_size rows. Weights of
-    chosen points are 1, as the base solver leaves them.
+    The tree is fitted on a sample of about sample_rows points and has at most one leaf for 32 of them. The points of
+    each leaf are counted, and a leaf with more than leaf_size of them (few leaves, or many equal points) is dealt on
+    by hashes of _idx, so a part is one group of about leaf_size rows. The points are written before each round and
+    read three times: for the sample, the counts and the parts. Weights of chosen points are 1, as the base solver
+    leaves them.
     """
 
     base: Solver
@@ -367,42 +483,79 @@ class MapReduce:
 
     def __post_init__(self):
         if self.leaf_size <= self.base.size:
-            raise ValueError("'leaf_size' must be larger than the coreset size of the base solver")
+            raise ValueError(f"leaf_size is {self.leaf_size}; a leaf holds more than the {self.base.size} points that are chosen of it")
+        if self.warn and not isinstance(self.base, (KernelHerding, SteinThinning)):
+            warnings.warn(f"{type(self.base).__name__} does not look at points in the order of a tree; parts of different sizes count alike", stacklevel=2)
 
     def reduce(self, p: Points) -> Coreset:
-        now, base = Points(p.df), self.base
-        while (n := now.count()) > self.leaf_size:
-            parts = leaves(n, self.leaf_size)
-            if parts == 1:
-                parts = 2
-            sample = Local.of(now.df.orderBy(uniform(0), "_idx").limit(self.sample_rows).select("_idx", "x", "w").toArrow())
-            depth = max(0, min(int(math.log2(parts)), int(math.log2(max(1, len(sample) // 32)))))
-            nodes, salts = split_tree(sample.x, depth), parts // 2**depth
-            shared = now.df.sparkSession.sparkContext.broadcast(nodes)
-            columns, schema = now.df.columns, now.df.schema
-
-            def tag(batches):
-                for batch in batches:
-                    if batch.num_rows:
-                        x = pairwise.matrix(batch.column(columns.index("x")))
-                        leaf = place(x, shared.value) if shared.value else np.zeros(len(x), np.int64)
-                        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf)], [*columns, "leaf"])
-
-            fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema)
-            tagged = now.df.mapInArrow(tag, f"{fields}, leaf long").withColumn("part", F.col("leaf") * salts + F.pmod(F.xxhash64("_idx"), F.lit(salts)))
-
-            def shrink(pdf: pd.DataFrame) -> pd.DataFrame:
-                pdf = pdf.sort_values("_idx").reset_index(drop=True)
-                data = Local(pdf["_idx"].to_numpy(), np.stack(pdf["x"].to_numpy()), pdf["w"].to_numpy(float), np.stack(pdf["y"].to_numpy()) if "y" in pdf else None)
-                usable = int((data.w > 0).sum())
-                if usable > base.size:
-                    pdf = pdf.iloc[replace(base).choose(data)].assign(w=1.0)
-                return pdf[columns]
-
-            before, now = n, Points(tagged.groupBy("part").applyInPandas(shrink, schema).cache())
-            if now.count() >= before:
+        columns = [c for c in ("_idx", "x", "w", "y") if c in p.df.columns]
+        now = written(p.df.select(*columns), "points")
+        n = now.count()
+        while n > self.leaf_size:
+            parts = self._parts(now, n)
+            after = written(self._shrunk(parts, columns, now.schema), "points")
+            left = after.count()
+            discard(now)
+            now = after
+            if left >= n:
                 break
-        last = base.reduce(now)
-        if self.warn and isinstance(base, RandomSample):
-            warnings.warn("random samples of parts do not depend on the points' places", stacklevel=2)
-        return Coreset(last.picks, p)
+            n = left
+        last = self.base.reduce(Points(now))
+        picks = _picks(p, last.indices())
+        discard(now)
+        return Coreset(picks, p)
+
+    def _parts(self, now: DataFrame, n: int) -> DataFrame:
+        """now with its part."""
+        spark = now.sparkSession
+        share = min(1.0, 1.2 * self.sample_rows / n)
+        sample = now.where(uniform(0) < share).select("_idx", "x", "w").toArrow() if share < 1 else now.select("_idx", "x", "w").toArrow()
+        x = Local.of(sample).x
+        depth = max(0, min(int(math.log2(max(2, leaves(n, self.leaf_size)))), int(math.log2(max(1, len(x) // 32)))))
+        shared, at = spark.sparkContext.broadcast(split_tree(x, depth)), now.columns.index("x")
+
+        def leaf_of(batch):
+            rows = pairwise.matrix(batch.column(at))
+            return place(rows, shared.value) if shared.value else np.zeros(len(rows), np.int64)
+
+        def count(batches):
+            total = np.zeros(1 << depth, np.int64)
+            for batch in batches:
+                if batch.num_rows:
+                    total += np.bincount(leaf_of(batch), minlength=len(total))
+            some = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["leaf", "n"])
+
+        sizes = now.mapInArrow(count, "leaf long, n long").groupBy("leaf").agg(F.sum("n").alias("n")).collect()
+        salts = np.ones(1 << depth, np.int64)
+        for r in sizes:
+            salts[r.leaf] = max(1, math.ceil(r.n / self.leaf_size))
+        first = np.cumsum(salts) - salts
+        table = spark.sparkContext.broadcast((first, salts))
+        schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in now.schema)
+
+        def tag(batches):
+            for batch in batches:
+                if batch.num_rows:
+                    leaf = leaf_of(batch)
+                    first, salts = table.value
+                    part = first[leaf] + batch.column(len(batch.columns) - 1).to_numpy() % salts[leaf]
+                    yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(part)], [*batch.schema.names[:-1], "part"])
+
+        hashed = now.withColumn("h", F.xxhash64("_idx").bitwiseAND(F.lit((1 << 62) - 1)))
+        return hashed.mapInArrow(tag, schema + ", part long")
+
+    def _shrunk(self, parts: DataFrame, columns: list[str], schema) -> DataFrame:
+        base = self.base
+
+        def shrink(table: pa.Table) -> pa.Table:
+            table = table.select(columns).sort_by("_idx").combine_chunks()
+            w = table["w"].to_numpy()
+            if int((w > 0).sum()) <= base.size:
+                return table
+            y = pairwise.matrix(table["y"]) if "y" in columns else None
+            data = Local(np.arange(len(w)), pairwise.matrix(table["x"]), w, y)
+            kept = table.take(pa.array(replace(base).choose(data)))
+            return kept.set_column(columns.index("w"), "w", pa.array(np.ones(len(kept))))
+
+        return parts.groupBy("part").applyInArrow(shrink, schema)

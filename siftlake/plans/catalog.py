@@ -108,7 +108,7 @@ ORDERS_SQL = "SELECT o_orderkey AS i, [o_totalprice / 100000.0::DOUBLE] AS x FRO
 @query("kernel_mean_landmarks", f"WITH a AS ({ORDERS_SQL}), b AS ({S}) SELECT a.i AS id, round(avg({K.PCIMQ(1.0, 1.0).sql('abs(a.x[1] - b.x[1])', '0', '0')}), 6) AS mean FROM a, b GROUP BY a.i")
 def kernel_mean_landmarks(spark, sf_dir):
     rows = points(_read(spark, sf_dir, "orders"), "o_orderkey", [F.col("o_totalprice") / 100000.0])
-    return pairwise.row_mean_sql(rows, suppliers(spark, sf_dir), K.PCIMQ(1.0, 1.0), 1).select(F.col("_idx").alias("id"), F.round("mean", 6).alias("mean"))
+    return pairwise.row_mean(rows, suppliers(spark, sf_dir), K.PCIMQ(1.0, 1.0)).select(F.col("_idx").alias("id"), F.round("mean", 6).alias("mean"))
 
 
 @query("median_heuristic", f"WITH p AS ({S}) SELECT round(sqrt(median(pow(a.x[1] - b.x[1], 2)) / 2), 6) AS length_scale FROM p a, p b WHERE a.i < b.i")
@@ -177,15 +177,19 @@ def _picked(coreset: solvers.Coreset) -> DataFrame:
     return coreset.picks.select("pos", F.col("_idx").alias("id"))
 
 
-def _greedy_sql(rows: str, kernel: str, score_: str, m: int, best: str) -> str:
-    """A chain of steps: each scores all points but the chosen and takes the first of the best."""
+def _greedy_sql(rows: str, kernel: str, score_: str, m: int, best: str, refined: bool = False) -> str:
+    """A chain of steps: each scores all points but the chosen and takes the first of the best; refined: then each place again, with all others kept."""
     steps = [f"p AS MATERIALIZED ({rows})", f"k AS MATERIALIZED (SELECT a.i, sum(b.w * {kernel}) / sum(b.w) AS mean, any_value(CASE WHEN a.i = b.i THEN {kernel} END) AS own FROM p a, p b GROUP BY a.i)"]
     for s in range(m):
         before = " UNION ALL ".join(f"SELECT i FROM c{t}" for t in range(s))
         penalty = f"(SELECT a.i, sum({kernel}) AS pen FROM p a, p b WHERE b.i IN ({before}) GROUP BY a.i)" if s else "(SELECT i, 0.0 AS pen FROM p)"
         out = f"WHERE k.i NOT IN ({before})" if s else ""
         steps.append(f"c{s} AS MATERIALIZED (SELECT {s} AS pos, k.i FROM k JOIN {penalty} q ON k.i = q.i {out} ORDER BY {score_.format(n=s + 1)} {best}, k.i LIMIT 1)")
-    return "WITH " + ", ".join(steps) + " " + " UNION ALL ".join(f"SELECT pos, i AS id FROM c{s}" for s in range(m))
+    for s in range(m if refined else 0):
+        others = " UNION ALL ".join([*(f"SELECT i FROM r{t}" for t in range(s)), *(f"SELECT i FROM c{t}" for t in range(s + 1, m))])
+        penalty = f"(SELECT a.i, sum({kernel}) AS pen FROM p a, p b WHERE b.i IN ({others}) GROUP BY a.i)"
+        steps.append(f"r{s} AS MATERIALIZED (SELECT {s} AS pos, k.i FROM k JOIN {penalty} q ON k.i = q.i WHERE k.i NOT IN ({others}) ORDER BY {score_.format(n=m)} {best}, k.i LIMIT 1)")
+    return "WITH " + ", ".join(steps) + " " + " UNION ALL ".join(f"SELECT pos, i AS id FROM {'r' if refined else 'c'}{s}" for s in range(m))
 
 
 @query("herding", _greedy_sql(E, SE.sql(*D), "k.mean - q.pen / {n}", 6, "DESC"))
@@ -236,20 +240,28 @@ def uniform_numbers(spark, sf_dir):
     return embeddings(spark, sf_dir).df.select(F.col("_idx").alias("id"), uniform(7).alias("u"))
 
 
-_LINE = ("l_quantity", "l_extendedprice", "l_discount", "l_tax")
+#: Columns and digits of their means; whole quantities are divided by round numbers of rows, so their means end in 5 at fewer digits.
+_LINE = {"l_quantity": 6, "l_extendedprice": 4, "l_discount": 4, "l_tax": 4}
 
 
-@query("tree_recombination", f"SELECT {', '.join(f'round(avg({c}), 4) AS {c}' for c in _LINE)}, 1.0::DOUBLE AS total, true AS few FROM lineitem")
+@query("tree_recombination", f"SELECT {', '.join(f'round(avg({c}), {n}) AS {c}' for c, n in _LINE.items())}, 1.0::DOUBLE AS total, true AS few FROM lineitem")
 def tree_recombination(spark, sf_dir):
     """The weighted mean of at most five of all rows is the mean of all."""
     df = _read(spark, sf_dir, "lineitem")
     p = points(df.withColumn("key", F.xxhash64(*df.columns)), "key", list(_LINE)).spread(spark.sparkContext.defaultParallelism)
     got = solvers.TreeRecombination(mode="explicit").reduce(p).points().df
-    return got.agg(*[F.round(F.sum(F.col("w") * F.col("x")[i]), 4).alias(c) for i, c in enumerate(_LINE)], F.round(F.sum("w"), 6).alias("total"), (F.count("*") <= 5).alias("few"))
+    return got.agg(*[F.round(F.sum(F.col("w") * F.col("x")[i]), n).alias(c) for i, (c, n) in enumerate(_LINE.items())], F.round(F.sum("w"), 6).alias("total"), (F.count("*") <= 5).alias("few"))
 
 
-@query("caratheodory", "SELECT round(sum(p_size * p_size) / sum(p_size) / 50.0, 6) AS x0, round(sum(p_size * p_retailprice) / sum(p_size) / 1000.0, 6) AS x1, 1.0::DOUBLE AS total, true AS few FROM part")
+@query("caratheodory", f"SELECT round(avg(x[1]), 6) AS x0, 1.0::DOUBLE AS total, true AS few FROM ({S})")
 def caratheodory(spark, sf_dir):
+    """The weighted mean of at most two suppliers is the mean of all."""
+    got = solvers.Caratheodory(mode="explicit").reduce(suppliers(spark, sf_dir)).points().df
+    return got.agg(F.round(F.sum(F.col("w") * F.col("x")[0]), 6).alias("x0"), F.round(F.sum("w"), 6).alias("total"), (F.count("*") <= 2).alias("few"))
+
+
+@query("tree_recombination_weighted", "SELECT round(sum(p_size * p_size) / sum(p_size) / 50.0, 6) AS x0, round(sum(p_size * p_retailprice) / sum(p_size) / 1000.0, 6) AS x1, 1.0::DOUBLE AS total, true AS few FROM part")
+def tree_recombination_weighted(spark, sf_dir):
     p = parts(spark, sf_dir)
     got = solvers.TreeRecombination(mode="explicit", factor=3).reduce(p, local_rows=100).points().df
     return got.agg(*[F.round(F.sum(F.col("w") * F.col("x")[i]), 6).alias(f"x{i}") for i in range(2)], F.round(F.sum("w"), 6).alias("total"), (F.count("*") <= 3).alias("few"))
@@ -272,19 +284,45 @@ _W0 = "greatest(0, least(1, 0.5 + (z0 - z1) / (2 * (1 - c))))"
 query("mmd_weights", _SYSTEM + f" SELECT 0 AS pos, round({_W0}, 6) AS w FROM z UNION ALL SELECT 1, round(1 - {_W0}, 6) FROM z")(_weights("mmd"))
 
 
-# what follows has no SQL form; tests hold it against goldens and invariants
-@query("herding_refine")
+@query("herding_refine", _greedy_sql(E, SE.sql(*D), "k.mean - q.pen / {n}", 10, "DESC", refined=True))
 def herding_refine(spark, sf_dir):
     solver, p = solvers.KernelHerding(10, SE), embeddings(spark, sf_dir)
     return _picked(solver.refine(solver.reduce(p)))
 
 
+# what follows without SQL has no such form; tests hold it against goldens and invariants
 @query("herding_iterative")
 def herding_iterative(spark, sf_dir):
     return _picked(solvers.KernelHerding(10, SE, probabilistic=True, temperature=0.01).reduce_iterative(embeddings(spark, sf_dir), 3))
 
 
-@query("stein_thinning_regularised")
+def _regularised_stein_sql(m: int) -> str:
+    """Scores and curvature of a Gaussian density of width 1, log densities of a weighted one with the data's covariance, then the steps."""
+    g = f"exp(-{_R2} / 2)"
+    moments = ", ".join(f"sum(b.x[{i}] * {g}) / sum({g}) AS m{i}, sum(b.x[{i}] * b.x[{i}] * {g}) / sum({g}) AS q{i}" for i in (1, 2))
+    apart = "((a.x[1] - b.x[1]) * (b.s1 - a.s1) + (a.x[2] - b.x[2]) * (b.s2 - a.s2))"
+    k = f"(-({_SLOPE} + 0.75 * {_R2} * pow(1 + {_R2} / 2, -2.5) + {_SLOPE}) + {_SLOPE} * {apart} + pow(1 + {_R2} / 2, -0.5) * (a.s1 * b.s1 + a.s2 * b.s2))"
+    maha = "((a.x[1] - b.x[1]) * (a.x[1] - b.x[1]) * c22 - 2 * (a.x[1] - b.x[1]) * (a.x[2] - b.x[2]) * c12 + (a.x[2] - b.x[2]) * (a.x[2] - b.x[2]) * c11) / det"
+    steps = [
+        f"d AS MATERIALIZED ({P})",
+        "t AS (SELECT sum(w) AS total FROM d)",
+        "v AS MATERIALIZED (SELECT i, x, w / total AS v FROM d, t)",
+        "u AS (SELECT sum(v * x[1]) AS u1, sum(v * x[2]) AS u2, sum(v * v) AS vv FROM v)",
+        "cov AS (SELECT pow(any_value(vv), 1.0 / 3) / (1 - any_value(vv)) AS f, sum(v * (x[1] - u1) * (x[1] - u1)) AS a11, sum(v * (x[1] - u1) * (x[2] - u2)) AS a12, sum(v * (x[2] - u2) * (x[2] - u2)) AS a22 FROM v, u)",
+        "inv AS (SELECT f * a11 AS c11, f * a12 AS c12, f * a22 AS c22, f * f * (a11 * a22 - a12 * a12) AS det FROM cov)",
+        f"l AS MATERIALIZED (SELECT a.i, ln(sum(b.v * exp(-{maha} / 2))) - 0.5 * ln(any_value(det)) - ln(2 * pi()) AS log FROM v a, v b, inv GROUP BY a.i)",
+        f"mo AS MATERIALIZED (SELECT a.i, any_value(a.x) AS x, {moments} FROM d a, d b GROUP BY a.i)",
+        "p AS MATERIALIZED (SELECT i, x, m1 - x[1] AS s1, m2 - x[2] AS s2, greatest(q1 - m1 * m1 - 1, 0) + greatest(q2 - m2 * m2 - 1, 0) AS laplace, log FROM mo JOIN l USING (i))",
+    ]
+    for s in range(m):
+        before = " UNION ALL ".join(f"SELECT i FROM c{t}" for t in range(s))
+        penalty = f"(SELECT a.i, sum({k}) AS pen FROM p a, p b WHERE b.i IN ({before}) GROUP BY a.i)" if s else "(SELECT i, 0.0 AS pen FROM p)"
+        out = f"WHERE p.i NOT IN ({before})" if s else ""
+        steps.append(f"c{s} AS MATERIALIZED (SELECT {s} AS pos, p.i FROM p JOIN {penalty} q ON p.i = q.i {out} ORDER BY 1 + s1 * s1 + s2 * s2 + 2 * pen + laplace - {s + 1} * log / {m}, p.i LIMIT 1)")
+    return "WITH " + ", ".join(steps) + " " + " UNION ALL ".join(f"SELECT pos, i AS id FROM c{s}" for s in range(m))
+
+
+@query("stein_thinning_regularised", _regularised_stein_sql(10))
 def stein_thinning_regularised(spark, sf_dir):
     return _picked(solvers.SteinThinning(10, PCIMQ).reduce(parts(spark, sf_dir)))
 
@@ -294,12 +332,45 @@ def greedy_kernel_points(spark, sf_dir):
     return _picked(solvers.GreedyKernelPoints(4, SE).reduce(embeddings(spark, sf_dir, y="label")))
 
 
+# two places of greedy kernel points: ridge systems of one and two equations
+_G = f"WITH p AS MATERIALIZED ({_L}), k AS MATERIALIZED (SELECT a.i, b.i AS j, a.y AS ya, b.y AS yb, {SE.sql(*D)} AS k FROM p a, p b)"
+_PAIR_SQL = _G + """, one AS (SELECT j, sum(k * k) * pow(any_value(yb) / (1 + 1e-6), 2) - 2 * sum(k * ya) * any_value(yb) / (1 + 1e-6) AS loss FROM k GROUP BY j),
+c0 AS MATERIALIZED (SELECT j FROM one ORDER BY loss, j LIMIT 1),
+f AS MATERIALIZED (SELECT i, k AS k0, yb AS y0 FROM k WHERE j = (SELECT j FROM c0)),
+g AS (SELECT k.j, ((1 + 1e-6) * f.y0 - h.k0 * k.yb) / (pow(1 + 1e-6, 2) - h.k0 * h.k0) AS a0, ((1 + 1e-6) * k.yb - h.k0 * f.y0) / (pow(1 + 1e-6, 2) - h.k0 * h.k0) AS a1, f.k0, k.k, k.ya FROM k JOIN f ON f.i = k.i JOIN f h ON h.i = k.j WHERE k.j <> (SELECT j FROM c0)),
+two AS (SELECT j, sum(pow(a0 * k0 + a1 * k, 2) - 2 * (a0 * k0 + a1 * k) * ya) AS loss FROM g GROUP BY j),
+c1 AS (SELECT j FROM two ORDER BY loss, j LIMIT 1) SELECT 0 AS pos, j AS id FROM c0 UNION ALL SELECT 1, j FROM c1"""
+
+
+@query("greedy_kernel_points_pair", _PAIR_SQL)
+def greedy_kernel_points_pair(spark, sf_dir):
+    return _picked(solvers.GreedyKernelPoints(2, SE).reduce(embeddings(spark, sf_dir, y="label")))
+
+
+@query("greedy_kernel_points_refine")
+def greedy_kernel_points_refine(spark, sf_dir):
+    solver, p = solvers.GreedyKernelPoints(4, SE), embeddings(spark, sf_dir, y="label")
+    return _picked(solver.refine(solver.reduce(p)))
+
+
 @query("kernel_thinning")
 def kernel_thinning(spark, sf_dir):
     return _picked(solvers.KernelThinning(16, SE).reduce(embeddings(spark, sf_dir)))
 
 
-@query("kernel_halving")
+# a recursive query: sigma, and per point the sums over seen pairs and over the first half
+_HALF = f"""WITH RECURSIVE p AS MATERIALIZED (SELECT row_number() OVER (ORDER BY i) AS r, i, x FROM ({E})),
+k AS MATERIALIZED (SELECT a.r, any_value(a.i) AS i, list({SE.sql(*D)} ORDER BY b.r) AS k FROM p a, p b GROUP BY a.r),
+h(t, sigma, seen, chosen, i) AS (SELECT CAST(0 AS BIGINT), 0.0::DOUBLE, (SELECT list(0.0::DOUBLE) FROM p), (SELECT list(0.0::DOUBLE) FROM p), CAST(NULL AS BIGINT) UNION ALL
+ SELECT t + 1, CASE WHEN width > 0 THEN sqrt(sigma * sigma + greatest(gap * (1 + (gap - 2 * width) * sigma * sigma / (width * width)), 0)) ELSE sigma END, seen2,
+ list_transform(chosen, lambda v, z: v + CASE WHEN swap THEN kb[z] ELSE ka[z] END), CASE WHEN swap THEN ib ELSE ia END FROM
+ (SELECT *, width > 0 AND 0.5 <= (1 - alpha / width) / 2 AS swap, list_transform(seen, lambda v, z: v + ka[z] + kb[z]) AS seen2 FROM
+ (SELECT *, greatest(sqrt(gap) * sigma * sqrt(2 * ln(2 / 0.1)), gap) AS width, seen[2 * t + 1] - seen[2 * t + 2] - 2 * (chosen[2 * t + 1] - chosen[2 * t + 2]) AS alpha FROM
+ (SELECT h.*, a.k AS ka, b.k AS kb, a.i AS ia, b.i AS ib, greatest(2 - 2 * a.k[2 * h.t + 2], 0) AS gap FROM h JOIN k a ON a.r = 2 * h.t + 1 JOIN k b ON b.r = 2 * h.t + 2))))
+SELECT CAST(t - 1 AS INT) AS pos, i AS id FROM h WHERE t > 0"""
+
+
+@query("kernel_halving", _HALF)
 def kernel_halving(spark, sf_dir):
     data = embeddings(spark, sf_dir).local()
     first, _ = kt_half(data.x, SE, 0.1, np.full(len(data), 0.5))
@@ -318,10 +389,20 @@ def map_reduce_herding(spark, sf_dir):
     return _picked(solvers.MapReduce(solvers.KernelHerding(25, K.SquaredExponential(0.5)), 2000).reduce(p.spread(4 * spark.sparkContext.defaultParallelism)))
 
 
-@query("recombination_weights")
-def recombination_weights(spark, sf_dir):
-    got = solvers.Caratheodory(mode="explicit").reduce(suppliers(spark, sf_dir))
-    return got.picks.select("pos", F.col("_idx").alias("id"), F.round("w", 9).alias("w"))
+_R1 = "((a.x[1] - b.x[1]) * (a.x[1] - b.x[1]))"
+_S1 = f"(-0.5 * pow(1 + {_R1} / 2, -1.5))"
+_STEIN1 = f"(-({_S1} + 0.75 * {_R1} * pow(1 + {_R1} / 2, -2.5)) + {_S1} * {_R1} + pow(1 + {_R1} / 2, -0.5) * a.x[1] * b.x[1])"
+
+
+@query("ksd_regularised", f"""WITH p AS MATERIALIZED ({S}), c AS (SELECT pow(count(*), -0.4) * var_samp(x[1]) AS cov, count(*) AS n FROM p),
+k AS (SELECT sum({_STEIN1}) / any_value(n * n) AS mean FROM p a, p b, c),
+m AS (SELECT a.i, sum(b.x[1] * exp(-{_R1} / 2)) / sum(exp(-{_R1} / 2)) AS m, sum(b.x[1] * b.x[1] * exp(-{_R1} / 2)) / sum(exp(-{_R1} / 2)) AS q, ln(avg(exp(-{_R1} / (2 * cov)))) - 0.5 * ln(any_value(cov)) - 0.5 * ln(2 * pi()) AS log FROM p a, p b, c GROUP BY a.i)
+SELECT round(sqrt(greatest(0, any_value(mean) + sum(greatest(q - m * m - 1, 0)) / any_value(n * n) - avg(log) / any_value(n))), 6) AS value FROM m, k, c""")
+def ksd_regularised(spark, sf_dir):
+    """With the Laplace and the entropic term."""
+    p = suppliers(spark, sf_dir)
+    curvature = score.KdeScore(p.local().x, 1.0)
+    return _one(spark, value=metrics.ksd(p, p, K.Stein(PCIMQ, gaussian_score), lambda x: curvature.with_curvature(x)[1], entropic=True))
 
 
 @query("amcmd")

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from siftlake.functions import kernels as K
+from siftlake.functions import linalg
 from siftlake.operators import greedy, recombine, weights
 from siftlake.operators.score import ScoreNetwork, kde_score, laplace_correction
 from siftlake.operators.solvers import leaves, place, split_tree
@@ -174,3 +175,53 @@ def test_delta():
     assert np.isclose(greedy.delta_for(100), 1 / (100 * math.log(math.log(100))))
     assert np.isclose(greedy.delta_for(2), 1 / (2 * math.log(2)))
     assert greedy.delta_for(1) == 1
+
+
+def test_stein_thinning_of_cached_scores_is_that_of_the_kernel():
+    x, w = np.random.default_rng(14).normal(size=(120, 2)), np.random.default_rng(15).uniform(0.5, 1, 120)
+    score = kde_score(x, 0.9)
+    kernel = K.Stein(K.PCIMQ(), score)
+    assert np.allclose(kernel.diagonal(x), np.diagonal(kernel(x, x)))
+    both = score.with_curvature(x)
+    assert np.allclose(both[0], score(x)) and np.allclose(both[1], laplace_correction(score)(x), atol=1e-6)
+    log = greedy.kde_log(x, w, x)
+    assert np.allclose(greedy.kde_log(x, w, x, pairs=500), log)
+    want = []
+    for i in range(6):
+        value = np.diagonal(kernel(x, x)) + 2 * kernel(x, x[want]).sum(1) + both[1] - log * (i + 1) / 6
+        value[want] = np.inf
+        want.append(int(np.argmin(value)))
+    assert greedy.stein(x, w, 6, kernel, laplace=both[1]).tolist() == want
+
+
+def test_greedy_kernel_points_refined():
+    """Each place anew is never worse; the result is the best single change of each place in turn."""
+    rng = np.random.default_rng(16)
+    x, k = rng.normal(size=(60, 2)), K.SquaredExponential(1.0)
+    y = np.sin(x[:, :1])
+
+    def loss(own):
+        fit = k(x, x[own]) @ np.linalg.solve(k(x[own], x[own]) + 1e-6 * np.eye(len(own)), y[own, 0])
+        return fit @ fit - 2 * fit @ y[:, 0]
+
+    first = [3, 4, 5]
+    got = greedy.greedy_kernel_points(x, y, ONES(60), 3, k, chosen=np.array(first)).tolist()
+    want = list(first)
+    for i in range(3):
+        tried = {j: loss(want[:i] + want[i + 1 :] + [j]) for j in range(60) if j not in want[:i] + want[i + 1 :]}
+        want[i] = min(tried, key=tried.get)
+    assert got == want and loss(got) < loss(first)
+
+
+def test_stacks_of_systems():
+    rng = np.random.default_rng(17)
+    a, b = rng.normal(size=(5, 4, 4)), rng.normal(size=(5, 4))
+    a[1, 2] = a[1, 1]  # singular
+    for solver in (linalg.MinimalNorm(), linalg.MinimalNorm(1e-9)):
+        assert np.allclose(solver.solve_stack(a, 0, b), [solver.solve(p, 0, q) for p, q in zip(a, b, strict=True)])
+    sym = a @ a.transpose(0, 2, 1)
+    eigen = linalg.RandomisedEigen(oversampling=4)
+    assert np.allclose(eigen.solve_stack(sym, 0.1, b), linalg.MinimalNorm().solve_stack(sym, 0.1, b))
+    for bad in ({"oversampling": 0}, {"power_iterations": -1}, {"rcond": -0.5}):
+        with pytest.raises(ValueError):
+            linalg.RandomisedEigen(**bad)

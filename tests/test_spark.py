@@ -106,7 +106,11 @@ def test_metrics(spark, cloud):
     b = from_arrays(spark, [1.0, 2], None, [1.0, 2])
     assert np.isclose(metrics.jmmd(a, b, SE, SE, 1) ** 2, _jmmd(a, b))
     one, two, at = from_arrays(spark, [0.0], None, [0.0]), from_arrays(spark, [1.0, 2], None, [1.0, 2]), from_arrays(spark, [1.0])
-    assert metrics.amcmd(one, two, SE, SE, 1e-3, at) > 0
+    half = K.SquaredExponential(1 / np.sqrt(2))
+    assert metrics.amcmd(one, two, half, K.Linear(), 0, at) == pytest.approx(1)
+    a3, b3 = from_arrays(spark, [-1.0, 0, 1], [2 / 3, 1 / 3, 1], [-1.0, 0, 1]), from_arrays(spark, [1.0, 2], [0.25, 0.75], [1.0, 2])
+    e = np.exp(-1)
+    assert metrics.jmmd(a3, b3, half, K.Linear(), 1) ** 2 == pytest.approx((37 / 16 + 12 / 16 * e) + (13 / 36 - e**4 / 3) - 2 * (1 / 8 + 6 / 8 * e - e**4 / 12 - 6 / 12 * e**9))
     stein = K.Stein(K.PCIMQ(), np.negative)
     assert np.isclose(metrics.ksd(q, q, stein), np.sqrt(max(stein(x[50:90], x[50:90]).mean(), 0)))
     plain = metrics.ksd(q, q, stein)
@@ -196,10 +200,48 @@ def test_map_reduce(spark):
         solvers.MapReduce(solvers.KernelHerding(20, SE), 20)
 
 
-@pytest.mark.parametrize("local_rows", [50_000, 60])
+@pytest.mark.parametrize("share", [0.0, 0.9])
+def test_leaves_of_map_reduce_are_bounded(spark, share):
+    """Also where most points are equal: no group that one task reduces is much larger than a leaf."""
+    x = np.random.default_rng(7).normal(size=(4096, 2))
+    x[: int(share * 4096)] = 0.5
+    solver = solvers.MapReduce(solvers.KernelHerding(20, SE), 256)
+    p = from_arrays(spark, x)
+    sizes = [r["count"] for r in solver._parts(p.df, 4096).groupBy("part").count().collect()]
+    assert sum(sizes) == 4096 and max(sizes) < 2 * 256
+    got = solver.reduce(p)
+    assert len(set(got.indices())) == 20
+    with pytest.warns(UserWarning):
+        solvers.MapReduce(solvers.RPCholesky(20, SE), 256)
+
+
+def test_many_points_are_evaluated_on_executors(spark, monkeypatch):
+    rng = np.random.default_rng(18)
+    x, w = rng.normal(size=(200, 2)), rng.uniform(size=200)
+    p = from_arrays(spark, x, w, np.sin(x[:, 0])).spread(3)
+    some = [solvers.KernelHerding(6, SE), solvers.SteinThinning(6, K.PCIMQ()), solvers.GreedyKernelPoints(4, SE), solvers.IterativeKernelHerding(6, SE, iterations=2)]
+    few = [s.reduce(p) for s in some]
+    again = [s.refine(c).indices() for s, c in zip(some[:3], few, strict=False)]
+    monkeypatch.setattr(solvers, "LOCAL_PAIRS", 10)
+    assert [s.reduce(p).indices() for s in some] == [c.indices() for c in few]
+    assert [s.refine(c).indices() for s, c in zip(some[:3], few, strict=False)] == again
+
+
+def test_draws_with_replacement_are_whole(spark):
+    p = from_arrays(spark, np.arange(500.0), np.r_[np.full(250, 1e-12), np.full(250, 0.1)])
+    for weighted in (True, False):
+        got = solvers.RandomSample(300, seed=5, weighted=weighted, unique=False, bucket_rows=3).reduce(p)
+        assert sorted(r.pos for r in got.picks.collect()) == list(range(300))
+    batches = solvers.batch_indices(10, 4, 6, seed=1)
+    assert batches.shape == (6, 4) and all(len(set(b)) == 4 and max(b) < 10 for b in batches.tolist())
+    with pytest.raises(ValueError):
+        solvers.batch_indices(3, 4, 1)
+
+
+@pytest.mark.parametrize("local_rows", [50_000, 60, 5])
 def test_recombination_on_executors(spark, cloud, local_rows):
     x, w, p = cloud
-    got = solvers.TreeRecombination(mode="explicit").reduce(p, local_rows)
+    got = solvers.TreeRecombination(mode="explicit").reduce(p, local_rows, most=6 if local_rows == 5 else 512)
     rows = got.points().df.collect()
     assert len(rows) <= 3 and np.isclose(sum(r.w for r in rows), 1)
     assert np.allclose(sum(r.w * np.array(r.x) for r in rows), w @ x / w.sum())
@@ -227,3 +269,42 @@ def test_merge_reduce_over_a_stream(spark, tmp_path):
     kept = Local.of(sink.points(spark).df.toArrow())
     assert len(kept) == 15 and np.isclose(kept.w.sum(), 900)
     assert greedy.mmd(x, np.ones(900), kept.x, kept.w, SE) < 0.15
+    # a new driver runs the last batch again, then one more
+    later = MergeReduce(solvers.KernelHerding(15, SE), str(tmp_path / "kept"))
+    rows = spark.read.schema("_idx long, x array<double>, w double").parquet(str(tmp_path / "in"))
+    last = rows.where("_idx >= 600")
+    later(last, 2)
+    assert np.isclose(Local.of(later.points(spark).df.toArrow()).w.sum(), 900)
+    later(last.withColumn("_idx", F.col("_idx") + 300), 3)
+    assert np.isclose(Local.of(later.points(spark).df.toArrow()).w.sum(), 1200)
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    from siftlake.sources.tables import folder
+
+    class Conf:
+        def get(self, *_):
+            return None
+
+    class Context:
+        master = "spark://somewhere:7077"
+
+        def getConf(self):  # noqa: N802
+            return Conf()
+
+    class Session:
+        sparkContext, conf = Context(), Conf()  # noqa: N815
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        folder(Session())
+
+
+def test_solvers_compare_at_equal_sizes(spark):
+    from siftlake.plans.solver_set import discrepancies, solver_set
+
+    rng = np.random.default_rng(20)
+    p = from_arrays(spark, rng.uniform(-5, 5, (6, 2))[np.arange(600) % 6] + rng.normal(size=(600, 2)))
+    got = discrepancies(p, 2, [16], g=3)
+    assert set(got) == set(solver_set(p, 2)) and all(len(v) == 1 for v in got.values())
+    assert got["KernelHerding"][16] < got["RandomSample"][16] and got["IterativeHerding"][16] <= got["KernelHerding"][16] + 1e-6
+    assert len(solver_set(p, 2, leaf_size=100)["KernelHerding"](16).reduce(p)) == 16
