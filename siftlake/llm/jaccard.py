@@ -48,7 +48,7 @@ SIZE, THRESHOLD = 5, 75
 #: Shingles in the table of frequent ones; of these, the count from which one names its unit.
 FREQUENT, NAMED = 1 << 20, 256
 #: Texts and shingles of a block; children of a node; bits of a set's bitmap and of a block's root.
-GROUP, TOKENS, FANOUT, MOST_BITS, ROOT_BITS = 2048, 1 << 20, 8, 1 << 17, 1 << 14
+GROUP, TOKENS, FANOUT, MOST_BITS, ROOT_BITS = 512, 1 << 20, 8, 1 << 17, 1 << 14
 #: Entries that a task holds before it packs them.
 FLUSH = 1 << 20
 #: Bits of the filter that says which sets are read again; beyond its size a join alone does.
@@ -486,7 +486,8 @@ def _maybe(rows: DataFrame, threshold: int) -> DataFrame:
         yield _links(out)
         shared.release()
 
-    return rows.repartition("unit").sortWithinPartitions("unit").select("unit", "id", "n", "sign").mapInArrow(run, "a long, b long")
+    dealt = rows.repartition(shared.partitions(rows.sparkSession), "unit").sortWithinPartitions("unit")
+    return dealt.select("unit", "id", "n", "sign").mapInArrow(run, "a long, b long")
 
 
 def _links(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
