@@ -10,8 +10,8 @@ a sum of rows of pair tables, which numpy gathers for whole batches of windows.
 The network is fitted on a bounded sample of the labelled rows: about
 `per_language` texts of each language (chosen by a hash of the id, so the same
 at every run), of each three windows.  A null text or one without a letter is
-`und` with score 0; so is every text if nothing is labelled.  Null labels are
-not learned; ties go to the first language by name.
+`und` with score 0; so is every text if no text that is not empty is labelled.
+Null labels are not learned; ties go to the first language by name.
 """
 
 from __future__ import annotations
@@ -152,9 +152,10 @@ def train(rows: DataFrame, text: str, lang: str, id: str, per_language: int = PE
     languages = sorted(counts)
     net = Network(languages)
     texts = [(spot, languages.index(name)) for _, name, cuts in got for spot in dict.fromkeys(cuts) if spot]
-    if texts:
-        x, owner = windows(*utf8(pa.array([t for t, _ in texts])))
-        net.fit(x, np.array([y for _, y in texts])[owner])
+    if not texts:
+        return None
+    x, owner = windows(*utf8(pa.array([t for t, _ in texts])))
+    net.fit(x, np.array([y for _, y in texts])[owner])
     return net
 
 
@@ -196,9 +197,9 @@ def identify(docs: DataFrame, text: str = "text", lang: str = "lang", id: str =
     return predict(docs, train(docs.where(fold(docs[id], folds) != held), text, lang, id), text, keep)
 
 
-def known(docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id", least: float = 0.3, folds: int = 4, held: int = 2) -> DataFrame:
-    """docs without those of undetermined language: no letter, or no language with a mean probability of `least`; where no row is labelled, without those that have no letter."""
+def known(docs: DataFrame, text: str = "text", lang: str = "lang", id: str = "doc_id", least: float = 1.2, folds: int = 4, held: int = 2) -> DataFrame:
+    """docs without those of undetermined language: no letter, or no language with `least` times the probability that a guess among all languages has; where no text is labelled, without those that have no letter."""
     net = train(docs.where(fold(docs[id], folds) != held), text, lang, id)
     if net is None:
         return annotate(docs, text, lambda column: [pa.array(lettered(*utf8(column)))], "letters boolean").where("letters").select("row.*")
-    return predict(docs, net, text).where((F.col("lang_pred") != "und") & (F.col("score") >= least)).select("row.*")
+    return predict(docs, net, text).where((F.col("lang_pred") != "und") & (F.col("score") * len(net.languages) >= least)).select("row.*")

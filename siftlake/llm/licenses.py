@@ -4,13 +4,14 @@ A notice may differ by `edits` inserted, deleted or replaced characters.  It is
 split into edits + 1 pieces; a match with no more edits holds one piece exactly
 (pigeonhole), so the pieces are the seeds of one automaton over all notices.
 Around each seed, in a window that the notice and its edits can fill, the regex
-library's bounded-error matching verifies the notice and gives its span; white
-space in the text matches as one space.  Exact phrases are found among the
-text's words (as hashes, then compared).
+library's bounded-error matching verifies the notice and gives its span, which
+begins and ends at the edge of a word; white space in the text matches as one
+space.  Exact phrases are found among the text's words (as hashes, then compared).
 
 Labels are distinct and sorted.  The score is the share of a notice's letters
 that its best match keeps, over all labels; 1 for an exact phrase, 0 for none.
-Null and empty texts have no words, no labels, null positions and score 0.
+Null and empty texts have no words, no labels, null positions and score 0.  Bytes
+that are no UTF-8 count as letters of words and as the replacement character.
 """
 
 from __future__ import annotations
@@ -44,6 +45,8 @@ NOTICES = {
 }
 
 _FOLD = bytes(LOWER.tolist())
+#: What words consist of, in lower-cased text.
+LETTER = "[0-9a-z\\x80-\\U0010FFFF]"
 
 
 def edits_of(notice: str) -> int:
@@ -62,7 +65,7 @@ class Scanner:
         import ahocorasick
 
         self.notices = [(n, label, edits_of(n)) for n, label in notices.items()]
-        self.patterns = [regex.compile(f"(?be)(?:{regex.escape(n, literal_spaces=True)}){{e<={k}}}") for n, _, k in self.notices]
+        self.patterns = [regex.compile(f"(?be)(?<!{LETTER})(?:{regex.escape(n, literal_spaces=True)}){{e<={k}}}(?!{LETTER})") for n, _, k in self.notices]
         seeds: dict[str, list[tuple[int, int]]] = {}
         for i, (n, _, k) in enumerate(self.notices):
             for offset, piece in pieces(n, k + 1):
@@ -89,7 +92,7 @@ class Scanner:
             n, _, k = self.notices[i]
             done = -len(n) - k - 1  # below every seed: letters lost before one put its start before the text
             for at in sorted(set(starts)):
-                lo, hi = max(0, at - k), min(len(text), at + len(n) + k)
+                lo, hi = max(0, at - k), min(len(text), at + len(n) + k + 1)  # one more shows whether a word goes on
                 if at <= done:
                     continue
                 m = self.patterns[i].search(text, lo, hi)
@@ -133,7 +136,7 @@ def scan(docs: DataFrame, text: str = "text", keep: list[str] | None = None, bas
                 base_labels[i].add(label)
         labels, score, spans = [], [], []
         for i in range(n):
-            raw = buf[offsets[i] : offsets[i + 1]].tobytes().translate(_FOLD).decode()
+            raw = buf[offsets[i] : offsets[i + 1]].tobytes().translate(_FOLD).decode("utf-8", "replace")
             found = scanner.fuzzy(_SPACE.sub(" ", raw))
             labels.append(",".join(sorted(base_labels[i] | {scanner.notices[f[0]][1] for f in found})))
             score.append(max([1.0 if base_labels[i] else 0.0, *(1 - f[3] / len(scanner.notices[f[0]][0]) for f in found)]))

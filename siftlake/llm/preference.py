@@ -8,7 +8,8 @@ turns meet once, by the pair's key, and are part of its row in any case.
 
 A null role or text is an empty one; rows of the same turn follow each other by
 role and text, repeated rows stay.  A conversation without a partner is its
-pair's chosen or rejected side, with an empty prompt and null for the other.
+pair's chosen or rejected side, with an empty prompt and null for the other.  A
+turn without a pair is a conversation by itself, with a row of its own.
 """
 
 from __future__ import annotations
@@ -22,7 +23,10 @@ _TURN = "concat('<|', t.role, '|>\\n', t.text, '<|end|>\\n')"
 def format_pairs(turns: DataFrame, pair: Column, rejected: Column, turn: str = "turn", role: str = "role", text: str = "text", learner: str = "assistant") -> DataFrame:
     """(pair, n_prompt_turns, prompt, chosen, rejected, chosen_mask, rejected_mask); a mask is a list of [first, last) ranges."""
     rows = turns.select(pair.alias("pair"), F.coalesce(rejected, F.lit(False)).alias("bad"), F.struct(turns[turn].alias("turn"), F.coalesce(turns[role], F.lit("")).alias("role"), F.coalesce(turns[text], F.lit("")).alias("text")).alias("t"))
-    both = rows.groupBy("pair").agg(F.sort_array(F.collect_list(F.when(~F.col("bad"), F.col("t")))).alias("c"), F.sort_array(F.collect_list(F.when(F.col("bad"), F.col("t")))).alias("r"))
+    some = rows.where("pair is not null").groupBy("pair").agg(F.sort_array(F.collect_list(F.when(~F.col("bad"), F.col("t")))).alias("c"), F.sort_array(F.collect_list(F.when(F.col("bad"), F.col("t")))).alias("r"))
+    none = F.expr("filter(array(t), t -> false)")
+    lone = rows.where("pair is null").select("pair", F.when(F.col("bad"), none).otherwise(F.array("t")).alias("c"), F.when(F.col("bad"), F.array("t")).otherwise(none).alias("r"))
+    both = some.unionByName(lone)
     prefix = "if(least(size(c), size(r)) = 0, 0, aggregate(sequence(0, greatest(least(size(c), size(r)), 1) - 1), 0, (n, i) -> if(n = i and c[i].role = r[i].role and c[i].text = r[i].text, n + 1, n)))"
     both = both.withColumn("n", F.expr(prefix))
     mask = "aggregate({0}, named_struct('at', 0, 'm', cast(array() as array<array<int>>)), (a, t) -> named_struct('at', a.at + char_length(t.role) + char_length(t.text) + 13, 'm', if(t.role = '{1}', concat(a.m, array(array(a.at + char_length(t.role) + 5, a.at + char_length(t.role) + 12 + char_length(t.text)))), a.m))).m"
@@ -31,5 +35,11 @@ def format_pairs(turns: DataFrame, pair: Column, rejected: Column, turn: str = "
     return out
 
 
+def halves(conversation: Column) -> tuple[Column, Column]:
+    """(pair, rejected) where conversations 2k and 2k + 1 are a pair, for all whole numbers of 64 bits."""
+    number = conversation.cast("long")
+    return F.shiftright(number, 1), number.bitwiseAND(F.lit(1).cast("long")) == 1
+
+
 def printed(mask: str) -> Column:
     return F.expr(f"array_join(transform({mask}, x -> concat(x[0], '-', x[1])), ',')")

@@ -47,7 +47,7 @@ def op5_unigram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
-    rows = preference.format_pairs(turns, F.floor(turns["conv_id"] / 2), turns["conv_id"] % 2 == 1)
+    rows = preference.format_pairs(turns, *preference.halves(turns["conv_id"]))
     return rows.select(F.col("pair").alias("pair_id"), "n_prompt_turns", "prompt", "chosen", "rejected", preference.printed("chosen_mask").alias("chosen_mask"), preference.printed("rejected_mask").alias("rejected_mask"))
 
 

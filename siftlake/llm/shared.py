@@ -1,9 +1,7 @@
-"""The shared folder, tables written there, and packed numpy columns."""
+"""Packed numpy columns, and passes over texts; tables in the shared folder are those of siftlake.sources.tables."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -11,35 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftlake.sources.tables import discard, drop_all, folder, fresh, written
 
-def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where that is unset (tests, one machine), a folder made once for the session."""
-    context = spark.sparkContext
-    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="siftlake-")
-        spark.conf.set("spark.checkpoint.dir", found)
-        context.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-def fresh(spark: SparkSession, name: str) -> str:
-    return f"{folder(spark)}/siftlake/{name}-{uuid.uuid4().hex}"
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The same rows, read again from a table in the shared folder: lost executors cost no more than a read."""
-    path = fresh(df.sparkSession, name)
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.written_to = path
-    return out
-
-
-def discard(*tables: DataFrame) -> None:
-    """Deletes tables of written() on which nothing that is still read depends."""
-    for df in tables:
-        _delete(df.sparkSession, df.written_to)
+__all__ = ["discard", "drop_all", "folder", "fresh", "written"]
 
 
 def partitions(spark: SparkSession) -> int:
@@ -153,13 +125,3 @@ def annotate(df: DataFrame, text: str, function: Callable[[pa.Array], list[pa.Ar
 
     out = given.mapInArrow(run, out_schema)
     return out.select(F.struct(*[F.col(f"k{i}").alias(c) for i, c in enumerate(keep)]).alias("row"), *[F.col(f"r{i}").alias(c.strip()) for i, c in enumerate(names)])
-
-
-def drop_all(spark: SparkSession) -> None:
-    """Deletes every table and file that operators have left in the shared folder; call it once results are written elsewhere."""
-    _delete(spark, f"{folder(spark)}/siftlake")
-
-
-def _delete(spark: SparkSession, where: str) -> None:
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

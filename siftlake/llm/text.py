@@ -61,15 +61,23 @@ def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """The column's bytes and the offsets of its rows; a null row has none."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    column = column.cast(pa.large_string())
+    column = column.cast(pa.large_binary())  # bytes, whatever they are
     if column.null_count:
-        column = column.fill_null("")
+        column = column.fill_null(b"")
     offsets = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1] if len(column) else np.zeros(1, np.int64)
     data = column.buffers()[2]
     buf = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and offsets[-1] > offsets[0] else np.zeros(0, np.uint8)
     return buf, offsets - offsets[0]
 
 
+def strings(column: pa.Array) -> list[str | None]:
+    """The column's texts; bytes that are no UTF-8 become the replacement character."""
+    try:
+        return column.to_pylist()
+    except UnicodeDecodeError:
+        return [None if x is None else x.decode("utf-8", "replace") for x in column.cast(pa.binary()).to_pylist()]
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """Runs of rows whose texts have about `limit` bytes; a longer text stands alone."""
     if not batch.num_rows:

@@ -10,12 +10,14 @@ are unpacked by numpy at once; any range of ids needs only its own blocks.
 
 Documents are dealt to files by ranges of their id, so the files in order hold
 all documents in ascending id; rows of one id follow each other by text, a null
-id comes first.  A null text is an empty one.  A task writes under a name of its
+id comes first.  A null text is an empty one; bytes that are no UTF-8 count as the
+replacement character.  A task writes under a name of its
 own and reports it, so a task that runs twice leaves an unread file and no doubt.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -31,10 +33,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.llm import shared
-from siftlake.llm.text import ragged, slices
+from siftlake.llm.text import ragged, slices, strings
 
 MAGIC, END = b"IDPACK01", b"IDPACKED"
-BLOCK, FILE_IDS = 1 << 14, 1 << 26
+BLOCK, FILE_IDS, FILE_DOCS = 1 << 14, 1 << 26, 1 << 22
 _HEAD, _FOOT = struct.Struct("<8sIII"), struct.Struct("<QQQQ8s")
 
 
@@ -73,11 +75,13 @@ class Writer:
         self.out = fs.open_output_stream(path)
         self.out.write(_HEAD.pack(MAGIC, vocabulary, self.bits, block))
         self.at, self.offsets, self.left, self.n_ids = _HEAD.size, [], np.zeros(0, np.uint32), 0
-        self.doc_ids, self.starts = [], []
+        self.doc_ids, self.null, self.starts, self.n_docs = [], [], [], 0
 
-    def add(self, doc_ids: list, edge: np.ndarray, ids: np.ndarray) -> None:
+    def add(self, doc_ids: pa.Array, edge: np.ndarray, ids: np.ndarray) -> None:
         """Documents with ids[edge[i]:edge[i + 1]]."""
-        self.doc_ids += doc_ids
+        self.null.append(doc_ids.is_null().to_numpy(zero_copy_only=False))
+        self.doc_ids.append(doc_ids.fill_null(0).to_numpy().astype("<i8"))
+        self.n_docs += len(doc_ids)
         self.starts.append(edge[:-1] + self.n_ids)
         self.n_ids += len(ids)
         ids = np.concatenate((self.left, ids.astype(np.uint32)))
@@ -95,9 +99,8 @@ class Writer:
     def close(self) -> None:
         if len(self.left):
             self._block(self.left)
-        null = np.array([d is None for d in self.doc_ids], np.uint8)
-        ids = np.array([d or 0 for d in self.doc_ids], "<i8")
-        starts = np.concatenate(self.starts) if self.starts else np.zeros(0)
+        null = np.concatenate([np.zeros(0, np.uint8), *self.null]).astype(np.uint8)
+        ids, starts = np.concatenate([np.zeros(0, "<i8"), *self.doc_ids]), np.concatenate([np.zeros(0), *self.starts])
         self.out.write(np.array(self.offsets, "<u8").tobytes() + ids.tobytes() + null.tobytes() + starts.astype("<u8").tobytes())
         self.out.write(_FOOT.pack(self.at, len(self.offsets), len(ids), self.n_ids, END))
         self.out.close()
@@ -161,7 +164,8 @@ class Encoder:
     Its pattern takes a space to the word after it, and nothing that it matches
     reaches over a space between two words; so a text is the sequence of its
     chunks (words with the space before), and each distinct chunk is encoded once.
-    A text where a space stands before white space or the end is encoded whole.
+    A text where a space stands before white space or the end is encoded whole; so is
+    every text where the tokenizer cuts or changes texts in another way.
     """
 
     def __init__(self, path: str, most: int = 1 << 24):
@@ -169,6 +173,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        with open(path, encoding="utf-8") as f:
+            made = json.load(f)
+        how = made.get("pre_tokenizer") or {}
+        self.chunked = not made.get("normalizer") and how.get("type") == "ByteLevel" and not how.get("add_prefix_space", True) and how.get("use_regex", True)
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.size = np.zeros(self.vocabulary, np.int64)  # bytes of each token: its string has a character for each
         for token, i in self.tokenizer.get_vocab().items():
@@ -222,7 +230,7 @@ class Encoder:
         for k, text in enumerate(texts):
             if not text:
                 sizes.append(0)
-            elif _LOOSE.search(text):
+            elif not self.chunked or _LOOSE.search(text):
                 whole.append(k)
                 sizes.append(0)
             else:
@@ -264,7 +272,8 @@ def write_ids(docs: DataFrame, tokenizer: str, text: str = "text", id: str = "do
     spark = docs.sparkSession
     to = shared.fresh(spark, "ids")
     given = docs.select(docs[id].cast("long").alias("id"), docs[text].cast("string").alias("text"))
-    ranged = given.repartitionByRange(shared.partitions(spark), "id").sortWithinPartitions("id", "text")
+    # rows of one id may be many, as those without: their texts' first letters divide them too
+    ranged = given.repartitionByRange(shared.partitions(spark), F.col("id"), F.substring("text", 1, 24)).sortWithinPartitions("id", "text")
 
     def run(batches):
         from pyspark import TaskContext
@@ -273,18 +282,19 @@ def write_ids(docs: DataFrame, tokenizer: str, text: str = "text", id: str = "do
 
         def done():
             writer.close()
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([writer.uri]), pa.array([len(writer.doc_ids)], pa.int64()), pa.array([writer.n_ids], pa.int64())], ["part", "seq", "uri", "n_docs", "n_ids"])
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([writer.uri]), pa.array([writer.n_docs], pa.int64()), pa.array([writer.n_ids], pa.int64())], ["part", "seq", "uri", "n_docs", "n_ids"])
 
         for batch in batches:
             for piece in slices(batch, "text", 4 << 20):
                 writer = writer or Writer(f"{to}/{part:06d}-{seq:04d}-{uuid.uuid4().hex}.ids", coder.vocabulary, block)
-                ids, edge = coder.encode(piece.column(1).to_pylist(), end)
-                writer.add(piece.column(0).to_pylist(), edge, ids)
-                if writer.n_ids >= file_ids:
+                ids, edge = coder.encode(strings(piece.column(1)), end)
+                writer.add(piece.column(0), edge, ids)
+                if writer.n_ids >= file_ids or writer.n_docs >= FILE_DOCS:
                     yield done()
                     writer, seq = None, seq + 1
         if writer:
             yield done()
+        shared.release()
 
     return shared.written(ranged.mapInArrow(run, _MANIFEST), "manifest")
 

@@ -1,8 +1,11 @@
 """SentencePiece unigram encoding and decoding.
 
-The pieces with log scores of a model file stand in a double-array trie over
+The pieces of a model file stand with log scores in a double-array trie over
 UTF-8 bytes; the best segmentation is found by Viterbi, in numpy for all distinct
-units of a batch at once.  A unit is a run of spaces with the characters up to
+units of a batch at once.  A file of a unigram model has the scores.  A file whose
+scores are ranks of merges (0, -1, -2, ...) has no probabilities, and none are
+trained here: a piece of rank r gets that of Zipf and Mandelbrot's rule, in
+proportion to 1 / (r + MANDELBROT), and its logarithm is the score.  A unit is a run of spaces with the characters up to
 the next space: no piece crosses its edge, so segmenting units one by one is
 exact (a vocabulary with such a piece is refused).  A text gets one space in
 front (the whitespace marker); characters without a piece fall back to their
@@ -24,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from siftlake.llm.shared import annotate
-from siftlake.llm.text import Words, ragged, utf8
+from siftlake.llm.text import Words, ragged, strings, utf8
 
 MARK = "▁"
+MANDELBROT = 2.7
 _UNIT = np.ones(256, bool)
 
 
@@ -104,14 +108,26 @@ def double_array(words: dict[bytes, int]) -> tuple[np.ndarray, np.ndarray, np.nd
     return np.array(base, np.int32), np.array(check, np.int32), np.array(value, np.int32)
 
 
+def log_scores(scores: np.ndarray, normal: np.ndarray) -> np.ndarray:
+    """Log probabilities of the normal pieces: as they are, or where they are ranks by the rule for ranks."""
+    own = scores[normal]
+    if not len(own) or own.max() > 0 or (own != np.round(own)).any():
+        return scores
+    out = scores.astype(float)
+    p = 1 / (MANDELBROT - own)
+    out[normal] = np.log(p / p.sum())
+    return out
+
+
 @lru_cache(maxsize=2)
 def load(path: str) -> Vocabulary:
-    """The pieces of a SentencePiece model file; their scores are taken as log scores."""
+    """The pieces of a SentencePiece model file, with log scores."""
     import sentencepiece
 
     sp = sentencepiece.SentencePieceProcessor(model_file=path)
     kinds = ["unknown" if sp.is_unknown(i) else "control" if sp.is_control(i) else "byte" if sp.is_byte(i) else "unused" if sp.is_unused(i) else "normal" for i in range(sp.get_piece_size())]
-    return Vocabulary([sp.id_to_piece(i) for i in range(len(kinds))], [sp.get_score(i) for i in range(len(kinds))], kinds)
+    scores = log_scores(np.array([sp.get_score(i) for i in range(len(kinds))]), np.array([k == "normal" for k in kinds]))
+    return Vocabulary([sp.id_to_piece(i) for i in range(len(kinds))], scores, kinds)
 
 
 def segment(v: Vocabulary, buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -197,7 +213,7 @@ def encode(v: Vocabulary, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     buf, offsets = utf8(column)
     n = np.diff(offsets)
     if MARK.encode() in buf.tobytes():
-        column = pa.array([None if x is None else x.replace(MARK, " ") for x in column.to_pylist()], pa.string())
+        column = pa.array([None if x is None else x.replace(MARK, " ") for x in strings(column)], pa.string())
         buf, offsets = utf8(column)
         n = np.diff(offsets)
     if v.prefix:  # one space in front of each text that is not empty
@@ -220,6 +236,12 @@ def encode(v: Vocabulary, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     size = end[first] - start[first]
     flat = buf[ragged(start[first], size)]
     edge = np.concatenate(([0], np.cumsum(size)))
+    if not np.array_equal(np.diff(np.append(start, len(buf))), size[unit]) or not np.array_equal(flat[ragged(edge[:-1][unit], size[unit])], buf):
+        # two different units have one hash: they are told apart by their bytes
+        known: dict[bytes, int] = {}
+        unit = np.array([known.setdefault(buf[a:b].tobytes(), len(known)) for a, b in zip(start.tolist(), end.tolist(), strict=True)])
+        flat = np.frombuffer(b"".join(known), np.uint8)
+        edge = np.concatenate(([0], np.cumsum([len(x) for x in known])))
     ids, cut = segment(v, flat, edge[:-1], edge[1:])
     count = np.diff(cut)[unit]
     per_text = np.concatenate(([0], np.cumsum(count)))[np.searchsorted(start, offsets)]

@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlake.llm import shared
+from siftlake.llm.text import strings
 from siftlake.llm.tokenpack import store
 
 PIECE, LEVEL, DATE = 1 << 20, 3, "2000-01-01T00:00:00Z"
@@ -132,7 +133,7 @@ def _page(urn: str | None) -> int | None:
 def write_archives(pages: DataFrame, id: str = "page_id", url: str = "url", payload: str = "html", least: int = 0) -> DataFrame:
     """Writes whole-file gzip archives of all rows; (uri, n) of the files. Payloads under `least` bytes are never revisits."""
     spark = pages.sparkSession
-    body = F.coalesce(pages[payload].cast("string"), F.lit(""))
+    body = F.coalesce(pages[payload].cast("string"), F.lit("")).cast("binary")  # bytes that are no UTF-8 stay as they are
     given = pages.select(pages[id].cast("long").alias("id"), pages[url].cast("string").alias("url"), body.alias("body"), F.sha1(body).alias("sha1"))
     twice = given.where(F.octet_length("body") >= least).groupBy("sha1").agg(F.max("id").alias("first"), F.count("*").alias("n")).where("n > 1 and first is not null")
     twice = shared.written(twice.select("sha1", "first"), "copies")
@@ -145,12 +146,12 @@ def write_archives(pages: DataFrame, id: str = "page_id", url: str = "url", payl
         n, out, engine = 0, None, None
         uri = f"{to}/{uuid.uuid4().hex}.warc.gz"
         for batch in batches:
-            for i, u, b, s, r in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for i, u, b, s, r in zip(*(strings(c) for c in batch.columns), strict=True):
                 if out is None:
                     fs, path = store(uri)
                     fs.create_dir(path.rsplit("/", 1)[0], recursive=True)
                     out, engine = fs.open_output_stream(path, compression=None), zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
-                out.write(engine.compress(record(i, u, b.encode(), r, base32(bytes.fromhex(s)))))
+                out.write(engine.compress(record(i, u, b, r, base32(bytes.fromhex(s)))))
                 n += 1
         if out is not None:
             out.write(engine.flush())

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import struct
 import zlib
 from collections import Counter, defaultdict
 
@@ -11,12 +12,15 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 import regex
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from siftlake.llm import decontaminate, jaccard, langid, licenses, multiset, ppm, preference, shared, tokenpack, unigram, warc
 from siftlake.llm.components import components
 
+LONG = "lorem " * 30_000
+
 FOLD = bytes(i + 32 if 65 <= i <= 90 else i for i in range(256))
 ALNUM, NONSPACE = rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", rb"[^\x20\x09-\x0D]+"
 
@@ -37,7 +41,7 @@ def benchmark(texts):
     return [("1", " ".join(long[5:25])), ("2", "one two"), ("3", None), ("4", " !! "), ("10", " ".join(long[5:25]).upper()), ("5", plain[11][:80]), ("null", plain[12]), ("6", "lorem")]
 
 
-@pytest.mark.parametrize("block_bytes", [16 << 20, 300])
+@pytest.mark.parametrize("block_bytes", [16 << 20, 600, 300])
 def test_decontamination_matches_brute_force(spark, docs, texts, benchmark, block_bytes):
     items = spark.createDataFrame([(None if n == "null" else int(n), t, 3) for n, t in benchmark], "item_id long, text string, n_hit long")
     got = decontaminate.decontaminate(docs, items, keep=["doc_id"], block_bytes=block_bytes)
@@ -45,6 +49,37 @@ def test_decontamination_matches_brute_force(spark, docs, texts, benchmark, bloc
     assert rows_of(got) == Counter(decontaminate.brute_force(texts, benchmark))
 
 
+def test_long_items_are_cut_without_losing_a_window():
+    rng = random.Random(2)
+    words = [f"w{rng.randrange(50)}" for _ in range(200)]
+    data = " ".join(words).encode()
+    for limit in (1, 60, 300, 10_000):
+        cut = decontaminate.cut_item(data, limit, 13)
+        windows = {tuple(decontaminate.item_words(p.decode())[i : i + 13]) for p in cut for i in range(len(decontaminate.item_words(p.decode())) - 12)}
+        assert windows == {tuple(w.encode() for w in words[i : i + 13]) for i in range(188)}
+        assert limit < 100 or max(map(len, cut)) <= max(limit, 60)
+    assert decontaminate.cut_item(b"... !", 2, 13) == [b""] and decontaminate.cut_item(b"a", 9, 13) == [b"a"]
+
+
+def test_index_of_many_windows_is_small():
+    """Eight megabytes in two blocks: each word hashed once, in bounded time and memory."""
+    import time
+    import tracemalloc
+
+    rng = np.random.default_rng(1)
+    vocabulary = np.array([f"word{i}" for i in range(30_000)])
+    texts = pa.array([" ".join(vocabulary[rng.integers(0, 30_000, 400)]) for _ in range(1100)])
+    assert texts.nbytes > decontaminate.BLOCK_BYTES
+    tracemalloc.start()
+    began = time.time()
+    index = decontaminate.Index([str(i) for i in range(len(texts))], texts, 13, 5)
+    prefixes = index.prefixes({s: np.zeros(len(x), np.int64) for s, x in index.shingles.items()})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(index.start) == 1100 * 388 and len(prefixes[5][2]) == len(index.start)
+    assert time.time() - began < 10 and peak < 250e6, (time.time() - began, peak)
+
+
 def test_decontamination_of_empty_tables(spark, docs, empty, benchmark):
     items = spark.createDataFrame(benchmark, "item_id string, text string")
     assert decontaminate.decontaminate(empty, items).count() == 0
@@ -132,6 +167,49 @@ def test_fingerprints_are_homomorphic(spark):
     assert many[0] == 3000
 
 
+def brute_fingerprint(text):
+    """From the definition, with another implementation of the hash."""
+    def xx(p, seed=None):
+        start = 42 if seed is None else xxhash.xxh64(struct.pack("<i", seed), seed=42).intdigest()
+        return xxhash.xxh64(p.encode(), seed=start).intdigest()
+
+    top = 2**62 - 1
+    runs = regex.findall(r"[^\n ]{1,48}(?: +[^\n ]{1,48}){0,3} *\n?|[\n ]+", text)
+    lines = regex.findall(r"[^\n]+\n?|\n", text)
+    out = [len(runs)]
+    for seed in (None, 1):
+        h = [xx(p, seed) for p in runs]
+        out += [sum(sum(((x >> j + 21 * k) & 1) << 21 * k for k in range(3)) for x in h) & top for j in range(21)]
+    return out + [sum(xx(p, seed) & top for p in lines) & top for seed in range(2, 2 + multiset.SUMS)]
+
+
+def brute_likeness(a, b):
+    if a == b or not a[0] or not b[0]:
+        return float(a == b)
+    u, v = (np.array([2 * ((x >> 21 * k) & (2**21 - 1)) - f[0] for x in f[1:43] for k in range(3)], float) for f in (a, b))
+    return float(np.clip(u @ v / math.sqrt((u @ u) * (v @ v)), 0, 1)) if u.any() and v.any() else 0.0
+
+
+def test_fingerprints_match_brute_force(spark, texts):
+    own = sorted({t or "" for _, t in texts if len(t or "") < 5000} | {"a\nb\n\na\n", "x" * 200, "b\na\n\na\n", "  \n ", "l1 w w w w w\nl2\n", "l2\nl1 w w w w w\n"})
+    df = spark.createDataFrame(list(enumerate(own)), "i long, t string")
+    got = {r.i: r for r in df.selectExpr("i", f"{multiset.fingerprint('t')} AS f", f"{multiset.fingerprint('reverse(t)')} AS g").selectExpr("*", f"{multiset.likenesses('f', {'like': 'g'})} AS l").collect()}
+    want = [brute_fingerprint(t) for t in own]
+    for i, t in enumerate(own):
+        assert list(got[i].f) == want[i], t
+        assert got[i].l.like == pytest.approx(brute_likeness(want[i], brute_fingerprint(t[::-1])), abs=1e-12)
+    assert want[own.index("a\nb\n\na\n")] == want[own.index("b\na\n\na\n")] and len({tuple(w) for w in want}) == len(own) - 2
+
+
+def test_edited_texts_are_likelier_than_the_next(spark):
+    """Half of a text stays, so its likeness is near a half; different texts have next to none."""
+    rng = random.Random(6)
+    df = spark.createDataFrame([(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(200))) for i in range(40)], "doc_id long, text string")
+    rows = multiset.with_next(df).selectExpr("*", f"{multiset.edited('text', 'next_text')} AS e").selectExpr("*", f"{multiset.fingerprint('e')} AS ef")
+    got = rows.selectExpr(f"{multiset.likenesses('fp', {'near': 'ef', 'far': 'next_fp'})} AS l").collect()
+    assert all(0.2 < r.l.near < 0.8 and r.l.far < r.l.near for r in got) and np.mean([r.l.far for r in got]) < 0.1
+
+
 # 4 ---------------------------------------------------------------------------------------------
 def test_license_scan(spark, empty):
     rows = [
@@ -181,6 +259,65 @@ def test_pieces_find_matches_at_the_ends_of_a_text(before, after):
             assert label in {scanner.notices[f[0]][1] for f in scanner.fuzzy(before + t + after)}, t
 
 
+def brute_scan(text):
+    """All word positions for the phrases, and each notice's pattern over the whole text."""
+    words = [w.decode("utf-8", "replace") for w in pieces(text, ALNUM)]
+    base, places = set(), []
+    for phrase, label in licenses.BASE.items():
+        p = phrase.split()
+        own = [i for i in range(len(words)) if words[i : i + len(p)] == p]
+        places += own
+        base |= {label} if own else set()
+    flat = regex.sub(r"\s+", " ", (text or "").encode().translate(FOLD).decode())
+    near, best = set(), 1.0 if base else 0.0
+    for notice, label in licenses.NOTICES.items():
+        found = regex.search(f"(?be)(?<![0-9a-z\\x80-\\U0010FFFF])(?:{regex.escape(notice)}){{e<={licenses.edits_of(notice)}}}(?![0-9a-z\\x80-\\U0010FFFF])", flat)
+        if found:
+            near.add(label)
+            best = max(best, 1 - sum(found.fuzzy_counts) / len(notice))
+    return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(base | near)), best
+
+
+def test_license_scan_matches_brute_force(spark):
+    rng = random.Random(8)
+    notices, filler = list(licenses.NOTICES), ["the", "small", "works", "un", "by", "cc", "all", "rights", "reserved", "public", "license", "straße", "—", "a.b"]
+    texts = []
+    for _ in range(150):
+        parts = [rng.choice(filler) for _ in range(rng.randint(0, 12))]
+        for _ in range(rng.randint(0, 2)):
+            t = list(rng.choice(notices))
+            for _ in range(rng.randint(0, 3)):
+                at = rng.randrange(len(t))
+                t[at : at + 1] = rng.choice([[], ["q"], [t[at], "z"], [t[at], " "]])
+            parts.insert(rng.randint(0, len(parts)), "".join(t).title() if rng.random() < 0.3 else "".join(t))
+        texts.append(rng.choice([" ", "  ", "\n"]).join(parts))
+    texts += [None, "", "cc by cc by cc by", "the small rights reserved here", "unlicensed under cc byte", LONG + "all rights reserved", LONG]
+    df = spark.createDataFrame([(i, t, "x", 1.0) for i, t in enumerate(texts)], "doc_id long, text string, labels string, score double")
+    got = {r["row"].doc_id: r for r in licenses.scan(df.union(df.where("doc_id = 3"))).collect()}
+    for i, t in enumerate(texts):
+        *want, best = brute_scan(t)
+        r = got[i]
+        assert [r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels] == want, t
+        assert r.score == pytest.approx(best), t
+    assert got[len(texts) - 4].labels == "" and got[len(texts) - 2].labels == "reserved"
+
+
+def test_bytes_that_are_no_text(spark):
+    """One rule for all: they are kept where bytes count, and the replacement character where characters do."""
+    raw = spark.createDataFrame([(1, bytearray(b"cc by \xff\xfe all rights reserved one two three four"))], "doc_id long, b binary").selectExpr("doc_id", "cast(b as string) as text", "cast(b as string) as html", "doc_id as page_id", "cast(null as string) as url")
+    r = licenses.scan(raw, keep=["doc_id"]).first()
+    assert (r.n_words, r.labels) == (10, "cc-by,reserved")
+    files = tokenpack.write_ids(raw, BPE)
+    assert tokenpack.read_ids(spark, files).first().n_tokens == len(tokenpack.Encoder(BPE).encode(["cc by \ufffd\ufffd all rights reserved one two three four"], 0)[0])
+    page = warc.read_archives(warc.normalise_archives(warc.write_archives(raw))).first()
+    assert page.payload_digest == warc.base32(hashlib.sha1(b"cc by \xff\xfe all rights reserved one two three four").digest())
+    items = raw.selectExpr("doc_id as item_id", "text")
+    assert decontaminate.decontaminate(raw, items).first().n_hit == 10
+    assert jaccard.jaccard_components(raw).first().n_shingles == 6
+    assert langid.predict(raw, None).first().lang_pred == "und" and ppm.score(raw, raw).count() == 1
+    assert unigram.encode_texts(raw, PIECES).count() == 1
+
+
 # 5 ---------------------------------------------------------------------------------------------
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -202,7 +339,7 @@ def test_unigram_scores_and_round_trip(docs, texts, empty):
 
     v = unigram.load(PIECES)
     sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
-    scores = {sp.id_to_piece(i).replace("▁", " "): sp.get_score(i) for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
+    scores = {sp.id_to_piece(i).replace("▁", " "): v.score[i] for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))}
     own = [t for _, t in texts if t and len(t) < 1000]
     ids, edge = unigram.encode(v, pa.array(own))
     for t, a, b in zip(own, edge[:-1], edge[1:], strict=True):
@@ -220,6 +357,27 @@ def test_unigram_scores_and_round_trip(docs, texts, empty):
     assert unigram.encode_texts(empty, PIECES).count() == 0
 
 
+def test_log_scores_are_probabilities():
+    import sentencepiece
+
+    v = unigram.load(PIECES)
+    sp = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    normal = [i for i in range(sp.get_piece_size()) if not (sp.is_byte(i) or sp.is_control(i) or sp.is_unknown(i))]
+    own = v.score[normal]
+    assert np.exp(own).sum() == pytest.approx(1) and (np.argsort(-own, kind="stable") == np.argsort([-sp.get_score(i) for i in normal], kind="stable")).all()
+    assert own.max() < -1 and v.floor < own.min()
+    given = np.log([0.5, 0.25, 0.25])
+    assert (unigram.log_scores(given, np.ones(3, bool)) == given).all()
+
+
+def test_units_of_one_hash_stay_apart(monkeypatch):
+    v, texts = unigram.load(PIECES), pa.array(["one two one", "", None, "two three"])
+    want = unigram.encode(v, texts)
+    monkeypatch.setattr(unigram, "_exact_hashes", lambda words: np.zeros(len(words.start), np.uint64))
+    got = unigram.encode(v, texts)
+    assert all(np.array_equal(a, b) for a, b in zip(got, want, strict=True))
+
+
 def test_double_array_holds_all_words():
     words = {w.encode(): i for i, w in enumerate(["a", "ab", "abc", "b", "ä", "äß", "zz"])}
     base, check, value = unigram.double_array(words)
@@ -250,6 +408,18 @@ def test_preference_pairs(spark):
     assert preference.format_pairs(df.where("false"), df.conv_id, df.conv_id > 0).count() == 0
 
 
+def test_pairs_of_any_conversation_number(spark, docs):
+    ids = [2**60, 2**60 + 1, 2**60 + 2, 2**60 + 3, -1, -2, -3, None, None, 2**63 - 1, -(2**63)]
+    df = spark.createDataFrame([(c, 0, "user", f"t{k}" if c is None else "same", k) for k, c in enumerate(ids)], "conv_id long, turn long, role string, text string, pair long")
+    rows = preference.format_pairs(df, *preference.halves(df.conv_id)).collect()
+    got = Counter((r.pair, r.n_prompt_turns, r.chosen, r.rejected) for r in rows)
+    alone = "<|user|>\nsame<|end|>\n"
+    assert got == Counter([(2**59, 1, "", ""), (2**59 + 1, 1, "", ""), (-1, 1, "", ""), (-2, 0, None, alone), (2**62 - 1, 0, None, alone), (-(2**62), 0, alone, None), (None, 0, "<|user|>\nt7<|end|>\n", None), (None, 0, "<|user|>\nt8<|end|>\n", None)])
+    clash = docs.selectExpr("doc_id as conv_id", "n_words as turn", "'assistant' as role", "text", "row as chosen", "k0 as pair", "score as c")
+    long = preference.format_pairs(clash, *preference.halves(clash.conv_id)).where("pair = 2").first()
+    assert len(long.chosen) > 180_000 and long.chosen_mask[0][1] == len(long.chosen) - 1
+
+
 # 7 ---------------------------------------------------------------------------------------------
 BPE = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -293,6 +463,17 @@ def test_files_of_ids(spark, docs, texts, empty, block, file_ids):
     assert tokenpack.read_ids(spark, tokenpack.write_ids(empty, BPE)).count() == 0
 
 
+def test_other_tokenizers_encode_whole_texts():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    coder, plain = tokenpack.Encoder(path), Tokenizer.from_file(path)
+    assert tokenpack.Encoder(BPE).chunked and not coder.chunked
+    texts = ["One two  three", "it's 4 you", None, "x"]
+    ids, edge = coder.encode(texts, None)
+    assert [ids[a:b].tolist() for a, b in zip(edge[:-1], edge[1:], strict=True)] == [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 # 8 ---------------------------------------------------------------------------------------------
 def test_archives(spark):
     long = "x" * 3_000_000 + "\r\n\r\nWARC/1.1\r\n"
@@ -342,6 +523,7 @@ def test_language(spark, docs, empty):
     clean = langid.known(table)
     assert clean.columns == table.columns and {r.doc_id for r in clean.collect()} >= {k for k, _, _ in rows} and clean.where("doc_id in (900, 901, 902)").count() == 0
     assert langid.identify(docs).count() == docs.count() and langid.identify(empty).count() == 0
+    assert {r.lang_pred for r in langid.identify(table.withColumn("text", F.lit(""))).collect()} == {"und"}
     unlabelled = langid.predict(table, None)
     assert {r.lang_pred for r in unlabelled.collect()} == {"und"}
 
