@@ -12,8 +12,10 @@ The score is the log10 probability of the text and its end.
 The trie is trained on all training texts and fixed.  Counts of the longest
 contexts hold those of the shorter ones, so they are what tasks count, pack and
 deal out.  At most SHARD of them are broadcast at once: with more, contexts are
-divided by their last two bytes and each part scores the places that are its own,
-over a table of the texts written once.
+divided by their last two bytes, and those of two bytes that are too many alone by
+the byte before, and so on up to whole contexts, which have at most 256 bytes after
+them.  Each part scores the places that are its own, in a pass over a table of the
+texts written once.
 
 The base is a unigram model of words.  The HOT most frequent words are broadcast
 (a fixed number); all other tokens are dealt out by word to meet their counts.
@@ -64,10 +66,10 @@ class Trie:
     """Contexts of all orders with the bytes after them, from the counts of the longest."""
 
     def __init__(self, key: np.ndarray, count: np.ndarray, order: int, low: list[tuple[np.ndarray, np.ndarray]]):
-        """low: keys and counts of orders 0 and 1 over all of the training texts; key: those of this shard."""
+        """low: keys and counts of the lowest orders, those shorter than what all contexts of this part end with, over all of the training texts; key: those of this part."""
         self.order, self.levels = order, []
         for k in range(order + 1):
-            self.levels.append(low[k] if k < 2 and k < order else shared.counts_of(key & U64((1 << 8 * (k + 1)) - 1), count))
+            self.levels.append(low[k] if k < len(low) and k < order else shared.counts_of(key & U64((1 << 8 * (k + 1)) - 1), count))
         self.levels = [(k, n.astype(np.uint32) if len(n) and n.max() < 1 << 32 else n) for k, n in self.levels]
         key, count = self.levels[order][0], self.levels[order][1].astype(np.int64)
         at = np.flatnonzero(np.concatenate(([True], key[1:] >> U64(8) != key[:-1] >> U64(8)))) if len(key) else np.zeros(0, np.int64)
@@ -161,7 +163,7 @@ def _counted(rows: DataFrame, order: int, buckets: int) -> DataFrame:
             if packed[kind]:
                 yield emit(kind, packed[kind])
                 packed[kind] = []
-        pa.default_memory_pool().release_unused()
+        shared.release()
 
     def total(batches):
         by: dict[tuple, list] = {}
@@ -218,42 +220,107 @@ def _explode(batches):
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(n)], ["kind", "at", "n"])
 
 
+class Part:
+    """Contexts that end with one of some runs of `depth` bytes: mask of the last two bytes, or of the byte before a suffix."""
+
+    def __init__(self, depth: int, suffix: int, mask: np.ndarray):
+        self.depth, self.suffix, self.mask = depth, suffix, mask
+
+    def own(self, keys: np.ndarray) -> np.ndarray:
+        context = keys >> U64(8)
+        if self.depth == 2:
+            return self.mask[(context & U64(0xFFFF)).astype(np.int64)]
+        bits = 8 * (self.depth - 1)
+        return (context & U64((1 << bits) - 1) == U64(self.suffix)) & self.mask[((context >> U64(bits)) & U64(255)).astype(np.int64)]
+
+
+def _ends(counts: DataFrame, depth: int, suffix: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the contexts that end with the depth - 1 bytes of suffix: places by the byte before these, and totals by the byte that follows."""
+    whole = Part(depth, suffix, np.ones(256, bool))
+
+    def run(batches):
+        before, after = np.zeros(256, np.int64), np.zeros(256, np.int64)
+        for batch in batches:
+            for k, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                keys, n = shared.unpack(k, np.uint64), shared.unpack(v, np.int64)
+                own = whole.own(keys)
+                keys, n = keys[own], n[own]
+                before += np.bincount(((keys >> U64(8 * depth)) & U64(255)).astype(np.int64), minlength=256)
+                after += np.bincount((keys & U64(255)).astype(np.int64), n, 256).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array([shared.pack(before)]), pa.array([shared.pack(after)])], ["keys", "values"])
+
+    rows = counts.where("kind = 1").select("keys", "values").mapInArrow(run, "keys binary, values binary").toArrow()
+    return tuple(sum((shared.unpack(x, np.int64) for x in rows[c].to_pylist()), np.zeros(256, np.int64)) for c in ("keys", "values"))
+
+
+def _parts(counts: DataFrame, pairs: np.ndarray, low: list, order: int, shard: int):
+    """(part, lowest orders) that together have all contexts once, each with at most `shard` places where contexts can be told apart."""
+    if order < 2 or pairs.sum() <= shard:
+        yield Part(2, 0, np.ones(1 << 16, bool)), low
+        return
+
+    def runs(places, large):
+        """Masks of neighbouring values, without the large ones, with at most `shard` places together; all values are in one, seen or not."""
+        places, cut, held = np.where(large, 0, places), [0], 0
+        for at in np.flatnonzero(places).tolist():
+            if held and held + places[at] > shard:
+                cut.append(at)
+                held = 0
+            held += places[at]
+        for lo, hi in zip(cut, [*cut[1:], len(places)], strict=True):
+            mask = ~large
+            mask[:lo] = mask[hi:] = False
+            yield mask
+
+    def below(depth, suffix, low):
+        before, after = _ends(counts, depth, suffix)
+        at = np.flatnonzero(after).astype(np.uint64)
+        low = [*low, (U64(suffix << 8) | at, after[after > 0])]
+        large = (before > shard) & (depth < order)
+        for mask in runs(before, large):
+            yield Part(depth, suffix, mask), low
+        for byte in np.flatnonzero(large).tolist():
+            yield from below(depth + 1, byte << 8 * (depth - 1) | suffix, low)
+
+    large = (pairs > shard) & (order > 2)
+    for mask in runs(pairs, large):
+        yield Part(2, 0, mask), low
+    for value in np.flatnonzero(large).tolist():
+        yield from below(3, value, low)
+
+
 def _tries(counts: DataFrame, pairs: np.ndarray, one: np.ndarray, order: int, shard: int):
-    """(mask of the last two context bytes, trie) of each shard: neighbouring values with at most `shard` places together."""
+    """(part, trie) for all parts, one after the other."""
     zero = one.reshape(256, 256).sum(0)
     low = [(np.flatnonzero(x).astype(np.uint64), x[np.flatnonzero(x)]) for x in (zero, one)]
-    group = (np.cumsum(pairs) - pairs) // shard
-    for g in np.unique(group[pairs > 0]) if pairs.any() else [0]:
-        mask = group == g
-        if order == 0 or pairs.sum() <= shard:
-            mask = np.ones(1 << 16, bool)
+    for part, lowest in _parts(counts, pairs, low, order, shard):
 
-        def pick(batches, mask=mask):
+        def pick(batches, part=part):
             for batch in batches:
                 for k, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                     keys, n = shared.unpack(k, np.uint64), shared.unpack(v, np.int64)
-                    own = mask[((keys >> U64(8)) & U64(0xFFFF)).astype(np.int64)]
+                    own = part.own(keys)
                     yield pa.RecordBatch.from_arrays([pa.array([shared.pack(keys[own])]), pa.array([shared.pack(n[own])])], ["keys", "values"])
 
         rows = counts.where("kind = 1").select("keys", "values").mapInArrow(pick, "keys binary, values binary").toArrow()
         key = np.concatenate([np.zeros(0, np.uint64), *(shared.unpack(x, np.uint64) for x in rows["keys"].to_pylist())])
         count = np.concatenate([np.zeros(0, np.int64), *(shared.unpack(x, np.int64) for x in rows["values"].to_pylist())])
-        yield mask, Trie(key, count, order, low)
+        del rows
+        yield part, Trie(key, count, order, lowest)
 
 
 _SCORED = "key long, id long, n_tokens long, n_known long, base double, score double, bucket int, keys binary, values binary"
 
 
-def _scored(rows: DataFrame, mask: np.ndarray, trie: Trie, hot, buckets: int) -> DataFrame:
-    """A row for each text, and packed rows of the tokens whose word is not hot; hot: (broadcast words, N, V), or None for scores only."""
-    model = rows.sparkSession.sparkContext.broadcast((mask, trie))
+def _scored(rows: DataFrame, model, hot, buckets: int) -> DataFrame:
+    """A row for each text, and packed rows of the tokens whose word is not hot; model: broadcast (part, trie); hot: (broadcast words, N, V), or None for scores only."""
     names = [x.split()[0] for x in _SCORED.split(",")]
     types = [pa.int64()] * 4 + [pa.float64()] * 2 + [pa.int32(), pa.binary(), pa.binary()]
 
     def run(batches):
         kept, held = [], 0
-        own, tree = model.value
-        full = bool(own.all())
+        part_, tree = model.value
+        full = part_.depth == 2 and bool(part_.mask.all())
 
         def flush():
             b, k, v = zip(*shared.bucketed(np.concatenate([x for x, _ in kept]), np.concatenate([y for _, y in kept]), buckets), strict=True)
@@ -266,7 +333,7 @@ def _scored(rows: DataFrame, mask: np.ndarray, trie: Trie, hot, buckets: int) ->
                     log = tree.scores(key)
                 else:
                     log = np.zeros(len(key))
-                    at = np.flatnonzero(own[((key >> U64(8)) & U64(0xFFFF)).astype(np.int64)])
+                    at = np.flatnonzero(part_.own(key))
                     log[at] = tree.scores(key[at])
                 n = part.num_rows
                 score = np.add.reduceat(log, edge[:-1]) if n else np.zeros(0)
@@ -291,7 +358,7 @@ def _scored(rows: DataFrame, mask: np.ndarray, trie: Trie, hot, buckets: int) ->
                     kept, held = [], 0
         if held:
             yield flush()
-        pa.default_memory_pool().release_unused()
+        shared.release()
 
     return rows.mapInArrow(run, _SCORED)
 
@@ -366,10 +433,14 @@ def score(docs: DataFrame, training: DataFrame, text: str = "text", id: str = "d
         given = shared.written(given, "texts")
     table = spark.sparkContext.broadcast(HotWords(words, often))
     made = extra = None
-    for mask, trie in _tries(counts, pairs, one, order, shard):
-        part = shared.written(_scored(given, mask, trie, (table, total, distinct) if made is None else None, buckets), "scores")
+    for part, trie in _tries(counts, pairs, one, order, shard):
+        model = spark.sparkContext.broadcast((part, trie))
+        del trie
+        part = shared.written(_scored(given, model, (table, total, distinct) if made is None else None, buckets), "scores")
+        model.destroy()
         if made is None:
             made = part
+            table.destroy()
         else:
             extra = part.select("key", "score") if extra is None else extra.union(part.select("key", "score"))
     rows = made.where("key is not null").drop("bucket", "keys", "values")

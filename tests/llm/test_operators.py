@@ -114,7 +114,25 @@ def brute_ppm(training, text, order):
     return total
 
 
-@pytest.mark.parametrize("shard, hot", [(1 << 22, 1 << 20), (500, 16)])
+def test_parts_of_contexts_are_bounded(spark):
+    """Two bytes with more contexts than a part may have are divided by the bytes before; every context is in one part."""
+    rng = random.Random(13)
+    texts = ["".join(rng.choice("abc") for _ in range(40)) + "zz" for _ in range(300)] + ["xy" * 50]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string")
+    counts = ppm._counted(rows, 5, 8)
+    *_, pairs, one = ppm._sums(counts, 16, 8)
+    assert pairs.max() > 60
+    seen = Counter()
+    for shard in (20, 60):
+        seen.clear()
+        for part, trie in ppm._tries(counts, pairs, one, 5, shard):
+            keys = trie.levels[5][0]
+            assert len(keys) <= shard and part.own(keys).all()
+            seen.update(keys.tolist())
+        assert len(seen) == pairs.sum() and set(seen.values()) == {1}
+
+
+@pytest.mark.parametrize("shard, hot", [(1 << 22, 1 << 20), (500, 16), (120, 16)])
 def test_ppm_matches_brute_force(docs, texts, shard, hot):
     small = docs.where("doc_id is null or doc_id <> 4")
     training = small.where("doc_id is null or doc_id % 5 <> 1")
