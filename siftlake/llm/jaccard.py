@@ -185,10 +185,8 @@ def _name(least: np.ndarray, n: np.ndarray) -> np.ndarray:
     return mix(least.astype(np.uint64) ^ mix(size + np.uint64(1))).view(np.int64)
 
 
-def _meetings(docs: DataFrame, size: int, threshold: int, frequent: tuple, buckets: int) -> DataFrame:
-    """(unit, id): the texts that share a prefix shingle have a unit in common; a text may be in several."""
-    table = docs.sparkSession.sparkContext.broadcast(frequent)  # FREQUENT entries at most
-
+def _meetings(docs: DataFrame, size: int, threshold: int, table, buckets: int) -> DataFrame:
+    """(unit, id), with the broadcast table of frequent shingles: the texts that share a prefix shingle have a unit in common; a text may be in several."""
     def run(batches):
         keys, often, least = table.value
         lookup = Lookup(keys)
@@ -262,7 +260,7 @@ def _units(token: np.ndarray, entry: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
-    """(id, tokens) of the documents whose id is among ids, and perhaps of a few others: joins with ids drop these.
+    """A table (id, tokens) of the documents whose id is among ids, and perhaps of a few others: joins with ids drop these.
 
     A filter of 16 bits for each id says which texts are cut into shingles again; when the ids are too many for one of a bounded size, a semi-join does.
     """
@@ -290,7 +288,10 @@ def _sets(docs: DataFrame, ids: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([shared.pack(value[a:b]) for a, b in zip(edge[:-1], edge[1:], strict=True)], pa.binary())], ["id", "tokens"])
         shared.release()
 
-    return docs.mapInArrow(run, "id long, tokens binary")
+    made = shared.written(docs.mapInArrow(run, "id long, tokens binary"), "tokens")
+    if shared_filter is not None:
+        shared_filter.destroy()
+    return made
 
 
 def bitmaps(sets: list[np.ndarray], bits: int) -> np.ndarray:
@@ -637,8 +638,10 @@ def classes_of(own: DataFrame) -> DataFrame:
 
 def tree_links(docs: DataFrame, own: DataFrame, signs: DataFrame, size: int, threshold: int, frequent: tuple, buckets: int) -> DataFrame:
     """(id, component) of the sets that the trees link; docs (id, text), own as classes_of() gives it, signs (id, n, sign)."""
-    met = _meetings(docs, size, threshold, frequent, buckets)
+    table = docs.sparkSession.sparkContext.broadcast(frequent)  # FREQUENT entries at most
+    met = _meetings(docs, size, threshold, table, buckets)
     met = shared.written(met.join(own, "id").select("unit", F.col("rep").alias("id"), "n").distinct(), "members")
+    table.destroy()
     several = shared.written(met.groupBy("unit").agg(F.count("*").alias("k"), F.min("id").alias("b")).where("k > 1"), "several")
     units = shared.written(met.join(several, "unit").select("unit", "id", "k", "b"), "units")
     shared.discard(met)
@@ -646,7 +649,7 @@ def tree_links(docs: DataFrame, own: DataFrame, signs: DataFrame, size: int, thr
     maybe = shared.written(_maybe(small, threshold).union(units.where(F.col("k") > GROUP).select(F.col("id").alias("a"), "b")), "maybe")
     size_of = own.where("id = rep").groupBy("id").agg(F.sum("n").alias("n"))
     members = shared.written(_blocks(components(maybe).withColumnRenamed("component", "unit").join(size_of, "id"), "unit"), "members")
-    sets = shared.written(_sets(docs, members.select("id"), size), "tokens")
+    sets = _sets(docs, members.select("id"), size)
     trees = members.join(sets, "id").select(F.xxhash64("unit", "block").alias("tree"), F.lit(0).alias("side"), "id", F.col("id").alias("component"), "tokens")
     labels = components(shared.written(_followed(trees, threshold), "links"))
     large = members.where("blocks > 1")

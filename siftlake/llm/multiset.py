@@ -18,7 +18,8 @@ all of them modulo 2**62, but their likeness to different texts means nothing.
 
 Null and empty texts have no pieces: the zero fingerprint, like 1 to itself and
 0 to any other.  A null id counts as the smallest; rows of one id follow each
-other by text.
+other by text.  Ids are numbers of 64
+bits or their decimal text; other text ends the job with an error.
 """
 
 from __future__ import annotations

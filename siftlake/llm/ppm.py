@@ -21,7 +21,8 @@ The base is a unigram model of words.  The HOT most frequent words are broadcast
 (a fixed number); all other tokens are dealt out by word to meet their counts.
 
 Null texts are empty: one end token, and the end mark's probability.  Without
-training texts every count is 0.  Rows of one id are scored each for itself.
+training texts every count is 0.  Rows of one id are scored each for itself.  Ids are numbers of 64
+bits or their decimal text; other text ends the job with an error.
 """
 
 from __future__ import annotations

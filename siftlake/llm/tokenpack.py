@@ -11,7 +11,8 @@ are unpacked by numpy at once; any range of ids needs only its own blocks.
 Documents are dealt to files by ranges of their id, so the files in order hold
 all documents in ascending id; rows of one id follow each other by text, a null
 id comes first.  A null text is an empty one; bytes that are no UTF-8 count as the
-replacement character.  A task writes under a name of its
+replacement character.  Ids are numbers of 64 bits or their decimal text.  A task
+writes under a name of its
 own and reports it, so a task that runs twice leaves an unread file and no doubt.
 """
 

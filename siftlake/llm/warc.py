@@ -9,7 +9,8 @@ A record is a `response` with HTTP headers and payload or, where another page
 has the same payload and a larger id, a `revisit` that keeps the HTTP headers
 and digest, refers to that page's record and has no payload.  A null payload is
 empty; pages without an id count as smaller than all; rows that repeat the
-largest id are all responses.  Names are unique to each attempt of a task, and
+largest id are all responses.  Ids are numbers of 64
+bits or their decimal text; other text ends the job with an error.  Names are unique to each attempt of a task, and
 only reported ones are read.
 """
 

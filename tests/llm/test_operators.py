@@ -173,6 +173,8 @@ def test_fingerprints(spark, docs, texts, empty):
         assert by.setdefault(r.text, r.fp) == r.fp
     assert len({tuple(x) for x in by.values()}) == len(by)
     assert multiset.with_next(empty).count() == 0
+    with pytest.raises(Exception, match="CAST_INVALID_INPUT"):
+        multiset.with_next(docs.withColumn("doc_id", F.lit("x7"))).collect()
 
 
 def test_fingerprints_are_homomorphic(spark):
@@ -561,6 +563,42 @@ def test_network_matches_its_tables():
     assert np.allclose(langid.probabilities(net.compiled(), symbols), langid._softmax(np.maximum(pooled, 0) @ net.out + net.shift), atol=1e-5)
 
 
+def test_predictions_match_a_plain_forward_pass(spark, docs, texts):
+    """Filter by filter over every window of the whole text, means of the windows' probabilities."""
+    net = langid.Network(["aa", "bb", "cc"], seed=3)
+    got = Counter((r["row"].doc_id, r.lang_pred, round(r.score, 4)) for r in langid.predict(docs, net, keep=["doc_id"]).collect())
+    want = Counter()
+    for i, t in texts:
+        data, total, n = (t or "").encode(), np.zeros(3), 0
+        for at in range(0, len(data), langid.WINDOW):
+            x = [int(langid.SYMBOL[b]) for b in data[at : at + langid.WINDOW]] + [0] * (langid.WINDOW - len(data[at : at + langid.WINDOW]))
+            pooled = []
+            for k, w in enumerate(langid.WIDTHS):
+                rows = np.stack([net.table[k][j][x][np.arange(langid.WINDOW - w + 1) + j] for j in range(w)])
+                pooled.append(rows.sum(0).max(0) + net.bias[k])
+            z = np.maximum(np.concatenate(pooled), 0) @ net.out + net.shift
+            total += np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+            n += 1
+        letters = any(c.isalpha() for c in t or "")
+        want[i, net.languages[int(total.argmax())] if letters else "und", round(total.max() / n, 4) if letters else 0.0] += 1
+    assert {k[:2] for k in got} == {k[:2] for k in want} and sum(got.values()) == sum(want.values())
+    for a, b in zip(sorted(got, key=str), sorted(want, key=str), strict=True):
+        assert a[:2] == b[:2] and a[2] == pytest.approx(b[2], abs=2e-4)
+
+
+@pytest.mark.parametrize("name, stage", corpus_pipeline.STAGES)
+def test_stages_of_odd_tables(spark, docs, empty, tmp_path, name, stage):
+    """Nulls, clashing names, long and repeated texts, no rows at all: every stage keeps its columns."""
+    spark.createDataFrame([(1, None), (None, "one two three")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    some, none = stage(spark, docs, str(tmp_path)), stage(spark, empty, str(tmp_path))
+    assert none.count() == 0 and 0 < some.count() <= docs.count()
+    if stage is not corpus_pipeline.STAGES[-1][1]:
+        assert some.columns == none.columns == docs.columns
+        assert not rows_of(some) - rows_of(docs)
+    else:
+        assert {"doc_id", "token_ids", "round_trip"} <= set(some.columns) and some.where("not round_trip").count() == 0
+
+
 # 10 --------------------------------------------------------------------------------------------
 def shingle_set(text):
     w = pieces(text, NONSPACE)
