@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.llm import decontaminate, jaccard, langid, unigram
-from siftlake.llm.shared import table, written
+from siftlake.llm.shared import discard, table, written
 
 VOCABULARY = "piece_bpe_32k.model"
 
@@ -46,9 +46,12 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; what each returns is written as Parquet and read again as the next one's input."""
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = written(docs, f"stage{i}")
+            if before is not None:
+                discard(before)
+            before = docs
     return docs
