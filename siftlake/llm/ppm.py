@@ -14,8 +14,9 @@ contexts hold those of the shorter ones, so they are what tasks count, pack and
 deal out.  At most SHARD of them are broadcast at once: with more, contexts are
 divided by their last two bytes, and those of two bytes that are too many alone by
 the byte before, and so on up to whole contexts, which have at most 256 bytes after
-them.  Each part scores the places that are its own, in a pass over a table of the
-texts written once.
+them.  Up to SERIAL parts each score the places that are their own, in a pass over a
+table of the texts written once.  With more, one pass deals all places to their
+parts, the most frequent parts to several tasks, and sums come back by text.
 
 The base is a unigram model of words.  The HOT most frequent words are broadcast
 (a fixed number); all other tokens are dealt out by word to meet their counts.
@@ -33,9 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlake.llm import shared
-from siftlake.llm.text import NONSPACE, U64, Lookup, Words, ragged, slices, utf8
+from siftlake.llm.text import NONSPACE, U64, Lookup, Words, mix, ragged, slices, utf8
 
 ORDER, SHARD, HOT, FLUSH, END = 5, 6 << 20, 1 << 19, 1_000_000, 0xFF
+#: Parts that are taken one by one; contexts of a part, and training places for each task of a part, where places are dealt.
+SERIAL, DEALT, PLACES = 8, 1 << 19, 1 << 26
 SLICE = 1 << 18
 _END_WORD = np.uint64(0x9B97_5C1E_31A7_F00D)  # stands for the hash of the end token
 
@@ -290,11 +293,14 @@ def _parts(counts: DataFrame, pairs: np.ndarray, low: list, order: int, shard: i
         yield from below(3, value, low)
 
 
+def _lowest(one: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Keys and counts of orders 0 and 1."""
+    return [(np.flatnonzero(x).astype(np.uint64), x[np.flatnonzero(x)]) for x in (one.reshape(256, 256).sum(0), one)]
+
+
 def _tries(counts: DataFrame, pairs: np.ndarray, one: np.ndarray, order: int, shard: int):
     """(part, trie) for all parts, one after the other."""
-    zero = one.reshape(256, 256).sum(0)
-    low = [(np.flatnonzero(x).astype(np.uint64), x[np.flatnonzero(x)]) for x in (zero, one)]
-    for part, lowest in _parts(counts, pairs, low, order, shard):
+    for part, lowest in _parts(counts, pairs, _lowest(one), order, shard):
 
         def pick(batches, part=part):
             for batch in batches:
@@ -310,6 +316,137 @@ def _tries(counts: DataFrame, pairs: np.ndarray, one: np.ndarray, order: int, sh
         yield part, Trie(key, count, order, lowest)
 
 
+class Cells:
+    """Which of some parts a context is in: one table for the last two bytes, and for each suffix that is divided one for the byte before."""
+
+    def __init__(self, parts: list[Part]):
+        self.pairs, self.deep = np.full(1 << 16, -1, np.int32), {}
+        for i, part in enumerate(parts):
+            table = self.pairs if part.depth == 2 else self.deep.setdefault(part.depth, {}).setdefault(part.suffix, np.full(256, -1, np.int32))
+            table[part.mask] = i
+
+    def of(self, keys: np.ndarray) -> np.ndarray:
+        context = keys >> U64(8)
+        out = self.pairs[(context & U64(0xFFFF)).astype(np.int64)]
+        for depth in sorted(self.deep):
+            rest, bits = np.flatnonzero(out < 0), 8 * (depth - 1)
+            suffix = context[rest] & U64((1 << bits) - 1)
+            for value in np.unique(suffix).tolist():
+                table = self.deep[depth].get(value)
+                if table is not None:
+                    own = rest[suffix == U64(value)]
+                    out[own] = table[((context[own] >> U64(bits)) & U64(255)).astype(np.int64)]
+        return out
+
+
+_CELLS = "cell int, salt int, side int, keys binary, values binary"
+
+
+def _cell_rows(rows: list[tuple]) -> pa.RecordBatch:
+    c, t, s, k, v = zip(*rows, strict=True) if rows else ((), (), (), (), ())
+    return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int32()) for x in (c, t, s)), pa.array(k, pa.binary()), pa.array(v, pa.binary())], ["cell", "salt", "side", "keys", "values"])
+
+
+def _split(cells: Cells, keys: np.ndarray, values: np.ndarray):
+    """(cell, keys, values) of the entries of each part."""
+    cell = cells.of(keys)
+    order = np.argsort(cell, kind="stable")
+    keys, values = keys[order], values[order]
+    of, at = np.unique(cell[order], return_index=True)
+    yield from zip(of.tolist(), np.split(keys, at[1:]), np.split(values, at[1:]), strict=True) if len(of) else ()
+
+
+def _dealt(given: DataFrame, counts: DataFrame, parts: list[tuple[Part, list]], order: int, buckets: int, places: int) -> DataFrame:
+    """(key, more_known, more_base): the number of places of each text, and the sum of their log10 probabilities."""
+    spark = given.sparkSession
+    model = spark.sparkContext.broadcast((Cells([p for p, _ in parts]), [low for _, low in parts]))
+    own = counts.where("kind = 1").select("keys", "values")
+
+    def weigh(batches):
+        mass = np.zeros(len(parts), np.int64)
+        for batch in batches:
+            for k, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for cell, _, n in _split(model.value[0], shared.unpack(k, np.uint64), shared.unpack(v, np.int64)):
+                    mass[cell] += n.sum()
+        yield pa.RecordBatch.from_arrays([pa.array([shared.pack(mass)])], ["mass"])
+
+    mass = sum((shared.unpack(x, np.int64) for x in own.mapInArrow(weigh, "mass binary").toArrow()["mass"].to_pylist()), np.zeros(len(parts), np.int64))
+    salts = np.maximum(1, -(-mass // places))
+
+    def trained(batches):
+        for batch in batches:
+            rows = []
+            for k, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                for cell, keys, n in _split(model.value[0], shared.unpack(k, np.uint64), shared.unpack(v, np.int64)):
+                    rows += [(cell, salt, 0, shared.pack(keys), shared.pack(n)) for salt in range(int(salts[cell]))]
+            yield _cell_rows(rows)
+
+    def asked(batches):
+        from pyspark import TaskContext
+
+        turn, kept, held = TaskContext.get().partitionId(), [], 0
+
+        def flush():
+            return _cell_rows([(cell, turn % int(salts[cell]), 1, shared.pack(k), shared.pack(d)) for cell, k, d in _split(model.value[0], *(np.concatenate(x) for x in zip(*kept, strict=True)))])
+
+        for batch in batches:
+            for part in slices(batch, "text", SLICE):
+                key, edge = grams(*utf8(part.column(2)), order)
+                kept.append((key, np.repeat(part.column(0).to_numpy(), np.diff(edge))))
+                held += len(key)
+                if held > FLUSH // 2:
+                    yield flush()
+                    turn, kept, held = turn + 1, [], 0
+        if held:
+            yield flush()
+        shared.release()
+
+    def meet(batches):
+        now, learned, tree = None, [], None
+        for batch in batches:
+            for cell, salt, side, k, v in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (cell, salt) != now:
+                    now, learned, tree = (cell, salt), [], None
+                if side == 0:
+                    learned.append((shared.unpack(k, np.uint64), shared.unpack(v, np.int64)))
+                    continue
+                if tree is None:
+                    key, n = (np.concatenate(x) for x in zip(*learned, strict=True)) if learned else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                    tree, learned = Trie(key, n, order, model.value[1][cell]), []
+                keys, docs = shared.unpack(k, np.uint64), shared.unpack(v, np.int64)
+                yield _to_texts(docs, np.stack((np.ones(len(docs)), tree.scores(keys)), 1), buckets)
+        shared.release()
+
+    both = own.mapInArrow(trained, _CELLS).union(given.mapInArrow(asked, _CELLS))
+    met = both.repartition(shared.partitions(spark), "cell", "salt").sortWithinPartitions("cell", "salt", "side")
+    return _summed(met.mapInArrow(meet, shared.BUCKETS))
+
+
+def _to_texts(key: np.ndarray, value: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Sums of two columns for each text, dealt out by text."""
+    keys, back = np.unique(key, return_inverse=True)
+    value = np.stack([np.bincount(back, value[:, j]) for j in range(2)], 1)
+    spread = (mix(keys.astype(np.uint64)) % U64(buckets)).astype(np.int64)
+    order = np.argsort(spread, kind="stable")
+    edge = np.searchsorted(spread[order], np.arange(buckets + 1))
+    return shared.bucket_rows([(i, shared.pack(keys[order[edge[i] : edge[i + 1]]]), shared.pack(value[order[edge[i] : edge[i + 1]]])) for i in range(buckets) if edge[i] < edge[i + 1]])
+
+
+def _summed(rows: DataFrame) -> DataFrame:
+    """(key, more_known, more_base): what _to_texts() sent to each text."""
+    def add(batches):
+        keys, values = [], []
+        for batch in batches:
+            keys += [shared.unpack(x, np.int64) for x in batch.column(1).to_pylist()]
+            values += [shared.unpack(x, np.float64).reshape(-1, 2) for x in batch.column(2).to_pylist()]
+        if keys:
+            key, back = np.unique(np.concatenate(keys), return_inverse=True)
+            value = np.concatenate(values)
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.bincount(back, value[:, 0]).astype(np.int64)), pa.array(np.bincount(back, value[:, 1]))], ["key", "more_known", "more_base"])
+
+    return shared.deal(rows).mapInArrow(add, "key long, more_known long, more_base double")
+
+
 _SCORED = "key long, id long, n_tokens long, n_known long, base double, score double, bucket int, keys binary, values binary"
 
 
@@ -400,30 +537,12 @@ def _tail(tokens_: DataFrame, counts: DataFrame, total: int, distinct: int, buck
                 at = np.minimum(np.searchsorted(known, word), len(known) - 1)
                 c = np.where(known[at] == word, n[at], 0)
             log = np.log10((c + 0.5) / (total + 0.5 * (distinct + 1)))
-            keys, back = np.unique(key, return_inverse=True)
-            value = np.stack((np.bincount(back, c > 0), np.bincount(back, log)), 1)
-            from siftlake.llm.text import mix
-
-            spread = (mix(keys.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(spread, kind="stable")
-            edge = np.searchsorted(spread[order], np.arange(buckets + 1))
-            rows = [(i, shared.pack(keys[order[edge[i] : edge[i + 1]]]), shared.pack(value[order[edge[i] : edge[i + 1]]])) for i in range(buckets) if edge[i] < edge[i + 1]]
-            yield shared.bucket_rows(rows)
-
-    def add(batches):
-        keys, values = [], []
-        for batch in batches:
-            keys += [shared.unpack(x, np.int64) for x in batch.column(1).to_pylist()]
-            values += [shared.unpack(x, np.float64).reshape(-1, 2) for x in batch.column(2).to_pylist()]
-        if keys:
-            key, back = np.unique(np.concatenate(keys), return_inverse=True)
-            value = np.concatenate(values)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.bincount(back, value[:, 0]).astype(np.int64)), pa.array(np.bincount(back, value[:, 1]))], ["key", "more_known", "more_base"])
+            yield _to_texts(key, np.stack((c > 0, log), 1), buckets)
 
-    return shared.deal(shared.deal(both).mapInArrow(meet, shared.BUCKETS)).mapInArrow(add, "key long, more_known long, more_base double")
+    return _summed(shared.deal(both).mapInArrow(meet, shared.BUCKETS))
 
 
-def score(docs: DataFrame, training: DataFrame, text: str = "text", id: str = "doc_id", order: int = ORDER, shard: int = SHARD, hot: int = HOT) -> DataFrame:
+def score(docs: DataFrame, training: DataFrame, text: str = "text", id: str = "doc_id", order: int = ORDER, shard: int = SHARD, hot: int = HOT, serial: int = SERIAL, dealt: int = DEALT, places: int = PLACES) -> DataFrame:
     """(id, n_tokens, n_known, train_tokens, base_score, score): one row for each row of docs, by the models of the training rows."""
     spark = docs.sparkSession
     buckets = 4 * shared.partitions(spark)
@@ -434,7 +553,14 @@ def score(docs: DataFrame, training: DataFrame, text: str = "text", id: str = "d
         given = shared.written(given, "texts")
     table = spark.sparkContext.broadcast(HotWords(words, often))
     made = extra = None
-    for part, trie in _tries(counts, pairs, one, order, shard):
+    if pairs.sum() > serial * shard:  # one pass with an empty model for the words, one for all places
+        low = _lowest(one)
+        parts = list(_parts(counts, pairs, low, order, dealt))
+        extra = shared.written(_dealt(given, counts, parts, order, buckets, places).select("key", F.col("more_base").alias("score")), "scores")
+        tries = [(Part(3, 0, np.zeros(256, bool)), Trie(np.zeros(0, np.uint64), np.zeros(0, np.int64), order, low))]
+    else:
+        tries = _tries(counts, pairs, one, order, shard)
+    for part, trie in tries:
         model = spark.sparkContext.broadcast((part, trie))
         del trie
         part = shared.written(_scored(given, model, (table, total, distinct) if made is None else None, buckets), "scores")

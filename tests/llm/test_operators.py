@@ -132,15 +132,17 @@ def test_parts_of_contexts_are_bounded(spark):
         assert len(seen) == pairs.sum() and set(seen.values()) == {1}
 
 
-@pytest.mark.parametrize("shard, hot", [(1 << 22, 1 << 20), (500, 16), (120, 16)])
-def test_ppm_matches_brute_force(docs, texts, shard, hot):
+@pytest.mark.parametrize("shard, hot, dealt", [(1 << 22, 1 << 20, None), (500, 16, None), (120, 16, None), (10, 16, 500), (10, 16, 100)])
+def test_ppm_matches_brute_force(docs, texts, shard, hot, dealt):
+    """With one part, some parts in turn, and all places dealt to parts and to several tasks of a part."""
+    how = {"serial": 0, "dealt": dealt, "places": 200} if dealt else {"serial": 1 << 30}
     small = docs.where("doc_id is null or doc_id <> 4")
     training = small.where("doc_id is null or doc_id % 5 <> 1")
     learned = [t for i, t in texts if i != 4 and (i is None or i % 5 != 1)]
     tokens = {(i, t): [*pieces(t, NONSPACE), None] for i, t in texts}
     count = Counter(w for i, t in texts if i != 4 and (i is None or i % 5 != 1) for w in tokens[i, t])
     n, v = sum(count.values()), len(count)
-    got = sorted(ppm.score(small, training, order=3, shard=shard, hot=hot).collect(), key=str)
+    got = sorted(ppm.score(small, training, order=3, shard=shard, hot=hot, **how).collect(), key=str)
     want = []
     for i, t in texts:
         if i != 4:
