@@ -18,7 +18,7 @@ similarity is at least `threshold` percent.
    from the root down; a pair of nodes is left where bitmaps and sizes exclude the
    overlap that a link needs, or where all below is one component already.  Leaves
    that are reached may link and join components at once, so that every link lies
-   inside one component of what may link.  (A unit over GROUP texts is one as it is.)
+   inside one component of what may link.  (A unit over UNIT texts is one as it is.)
 4. Each such component is followed as a tree again, now with the sets themselves:
    leaves that are reached are compared exactly, and what links joins components.
 
@@ -47,10 +47,10 @@ from siftlake.llm.text import NONSPACE, Lookup, Words, distinct_sets, mix, ragge
 SIZE, THRESHOLD = 5, 75
 #: Shingles in the table of frequent ones; of these, the count from which one names its unit.
 FREQUENT, NAMED = 1 << 20, 256
-#: Texts and shingles of a block; children of a node; bits of a set's bitmap and of a block's root.
-GROUP, TOKENS, FANOUT, MOST_BITS, ROOT_BITS = 512, 1 << 20, 8, 1 << 17, 1 << 14
-#: Entries that a task holds before it packs them.
-FLUSH = 1 << 20
+#: Texts of a unit whose bitmaps make one tree; texts and shingles of a block; children of a node; bits of a set's bitmap and of a block's root.
+UNIT, GROUP, TOKENS, FANOUT, MOST_BITS, ROOT_BITS = 2048, 2048, 1 << 20, 8, 1 << 17, 1 << 14
+#: Shingles that a task counts before it packs what repeats, and entries that it holds before it packs them.
+COUNTED, FLUSH = 1 << 21, 1 << 20
 #: Bits of the filter that says which sets are read again; beyond its size a join alone does.
 FILTER_BITS = 1 << 28
 STEPS, ENTRY, MEMBER = 64, np.dtype([("id", "<i8"), ("size", "<u2")]), np.dtype([("unit", "<i8"), ("id", "<i8")])
@@ -98,6 +98,7 @@ def _first_pass(docs: DataFrame, size: int, buckets: int) -> DataFrame:
 
     def flush(kept):
         keys, ids = np.concatenate([k for k, _ in kept]), np.concatenate([i for _, i in kept])
+        kept.clear()  # the worker holds these no longer than it must
         order = np.argsort(keys, kind="stable")
         keys, ids = keys[order], ids[order]
         at = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
@@ -122,7 +123,7 @@ def _first_pass(docs: DataFrame, size: int, buckets: int) -> DataFrame:
                 kept.append((value[new], np.repeat(part.column(0).fill_null(0).to_numpy(), n)[new]))
                 held += len(kept[-1][0])
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(signatures(value, edge), pa.binary()), *(pa.nulls(len(n), t) for t in types[5:])], names)
-                if held > FLUSH:
+                if held > COUNTED:
                     yield from flush(kept)
                     seen, kept, held = _Seen(), [], 0
         if held:
@@ -645,8 +646,8 @@ def tree_links(docs: DataFrame, own: DataFrame, signs: DataFrame, size: int, thr
     several = shared.written(met.groupBy("unit").agg(F.count("*").alias("k"), F.min("id").alias("b")).where("k > 1"), "several")
     units = shared.written(met.join(several, "unit").select("unit", "id", "k", "b"), "units")
     shared.discard(met)
-    small = units.where(F.col("k") <= GROUP).select("unit", "id").join(signs, "id")
-    maybe = shared.written(_maybe(small, threshold).union(units.where(F.col("k") > GROUP).select(F.col("id").alias("a"), "b")), "maybe")
+    small = units.where(F.col("k") <= UNIT).select("unit", "id").join(signs, "id")
+    maybe = shared.written(_maybe(small, threshold).union(units.where(F.col("k") > UNIT).select(F.col("id").alias("a"), "b")), "maybe")
     size_of = own.where("id = rep").groupBy("id").agg(F.sum("n").alias("n"))
     members = shared.written(_blocks(components(maybe).withColumnRenamed("component", "unit").join(size_of, "id"), "unit"), "members")
     sets = _sets(docs, members.select("id"), size)

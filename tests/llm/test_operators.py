@@ -655,6 +655,7 @@ def drifting(seed):
 def test_jaccard_components_of_drifting_copies(spark, monkeypatch, group, named):
     """Few members a block, so that sets go up and block roots meet; frequent shingles that name their unit."""
     monkeypatch.setattr(jaccard, "GROUP", group)
+    monkeypatch.setattr(jaccard, "UNIT", group)
     monkeypatch.setattr(jaccard, "NAMED", named)
     monkeypatch.setattr(jaccard, "FILTER_BITS", 1 << 28 if group == 16 else 0)
     rows = drifting(11)
@@ -677,6 +678,7 @@ def test_every_link_of_different_texts_comes_through_the_trees(spark, monkeypatc
 def test_a_third_of_all_rows_in_one_group(spark, monkeypatch):
     """Near copies and exact ones share frequent shingles; the groups are cut into blocks and yet whole."""
     monkeypatch.setattr(jaccard, "GROUP", 20)
+    monkeypatch.setattr(jaccard, "UNIT", 30)
     monkeypatch.setattr(jaccard, "NAMED", 16)
     rng = random.Random(3)
     base = [f"w{rng.randrange(10**6)}" for _ in range(40)]
