@@ -29,14 +29,26 @@ def sq_dist(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.maximum(out, 0)
 
 
+def paired(function: Callable[[np.ndarray, np.ndarray], np.ndarray], x: np.ndarray, y: np.ndarray, block: int = 32) -> np.ndarray:
+    """Of function(x, y), such as a kernel or its grad_x, the values where both rows have the same position; from small blocks."""
+    if len(x) != len(y):
+        raise ValueError(f"{len(x)} rows can't be paired with {len(y)}")
+    parts = [function(x[i : i + block], y[i : i + block]) for i in range(0, max(1, len(x)), block)]
+    return np.concatenate([p[np.arange(len(p)), np.arange(len(p))] for p in parts])
+
+
 class Kernel:
     """k(x, y); +, * and ** build other kernels."""
 
     def __call__(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         raise NotImplementedError
 
-    def diagonal(self, x: np.ndarray, block: int = 32) -> np.ndarray:
-        return np.concatenate([np.zeros(0), *(np.diagonal(self(x[i : i + block], x[i : i + block])) for i in range(0, len(x), block))])
+    def elementwise(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """k of the first rows of x and y, of the second rows, and so on."""
+        return paired(self, x, y)
+
+    def diagonal(self, x: np.ndarray) -> np.ndarray:
+        return self.elementwise(x, x)
 
     def sql(self, r: str, l1: str, dot: str) -> str:
         """The kernel as SQL; r, l1 and dot are expressions for the distances and the inner product."""

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftlake.functions.kernels import Kernel
+from siftlake.functions.kernels import Kernel, paired
 from siftlake.sources.points import Local, Points
 
 #: Bytes of one side that is broadcast at once; a larger side is taken in blocks.
@@ -104,6 +104,21 @@ def evaluated(p: Points, function, width: int) -> np.ndarray:
     return np.frombuffer(b"".join(rows["v"].to_pylist()), float).reshape(-1, width)
 
 
+def elementwise(df: DataFrame, key: str, x: str, y: str, kernel: Kernel) -> DataFrame:
+    """(key, k, grad_x, grad_y, divergence) of the vectors x and y of each row, without a shuffle; rows without one of them are left out."""
+    kind = dict(df.dtypes)[key]
+
+    def run(batches):
+        for batch in batches:
+            if batch.num_rows:
+                a, b = matrix(batch.column(1)), matrix(batch.column(2))
+                gx, gy = (pa.array(list(paired(g, a, b)), pa.list_(pa.float64())) for g in (kernel.grad_x, kernel.grad_y))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kernel.elementwise(a, b)), gx, gy, pa.array(paired(kernel.divergence, a, b))], [key, "k", "grad_x", "grad_y", "divergence"])
+
+    given = df.where(df[x].isNotNull() & df[y].isNotNull()).select(key, df[x].cast("array<double>"), df[y].cast("array<double>"))
+    return given.mapInArrow(run, f"`{key}` {kind}, k double, grad_x array<double>, grad_y array<double>, divergence double")
+
+
 def row_mean(x: Points, y: Points, kernel: Kernel, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(_idx, w, mean): of each x the weighted mean of k(x, y) over y (axis 1)."""
     total = y.df.agg(F.sum("w")).first()[0]

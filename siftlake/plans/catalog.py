@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftlake.functions import kernels as K
-from siftlake.functions.linalg import RandomisedEigen
+from siftlake.functions.linalg import MinimalNorm, RandomisedEigen
 from siftlake.operators import approx, metrics, pairwise, score, solvers
 from siftlake.operators.greedy import kt_half
 from siftlake.sources.points import Points, points, uniform
@@ -50,8 +50,8 @@ def parts(spark, sf_dir, where: str = "true", weight="p_size", **more) -> Points
     return points(df, "p_partkey", [F.col("p_size") / 50.0, F.col("p_retailprice") / 1000.0], weight, **more).spread(spark.sparkContext.defaultParallelism)
 
 
-def suppliers(spark, sf_dir) -> Points:
-    return points(_read(spark, sf_dir, "supplier"), "s_suppkey", [F.col("s_acctbal") / 5000.0])
+def suppliers(spark, sf_dir, where: str = "true", **more) -> Points:
+    return points(_read(spark, sf_dir, "supplier").where(where), "s_suppkey", [F.col("s_acctbal") / 5000.0], **more)
 
 
 # SQL over (i, x, w) in DuckDB
@@ -96,6 +96,19 @@ def _one(spark, **values) -> DataFrame:
     return spark.createDataFrame([tuple(round(float(v), 6) for v in values.values())], ", ".join(f"{n} double" for n in values))
 
 
+_ALONG = "list_distance(a.x, b.x)"
+
+
+@query("kernel_elementwise", f"""WITH p AS ({E}), k AS (SELECT a.i, a.x AS ax, b.x AS bx, len(a.x) AS d, pow({_ALONG}, 2) AS r2, {SE.sql(*D)} AS k FROM p a JOIN p b ON b.i = a.i + 1)
+SELECT i AS id, round(k, 6) AS k, round((bx[1] - ax[1]) * k, 6) AS gx0, round((ax[d] - bx[d]) * k, 6) AS gy_last, round((d - r2) * k, 6) AS divergence FROM k""")
+def kernel_elementwise(spark, sf_dir):
+    """Kernel and derivatives of each embedding and the one with the next number."""
+    df = _read(spark, sf_dir, "embeddings")
+    pairs = df.select("vec_id", F.col("embedding").alias("a")).join(df.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b")), "vec_id")
+    got = pairwise.elementwise(pairs, "vec_id", "a", "b", SE)
+    return got.select(F.col("vec_id").alias("id"), F.round("k", 6).alias("k"), F.round(F.col("grad_x")[0], 6).alias("gx0"), F.round(F.element_at("grad_y", -1), 6).alias("gy_last"), F.round("divergence", 6).alias("divergence"))
+
+
 @query("kernel_mean_all", f"WITH p AS ({P}) SELECT round(sum(a.w * b.w * {SE.sql(*PAIR)}) / sum(a.w * b.w), 6) AS mean FROM p a, p b")
 def kernel_mean_all(spark, sf_dir):
     p = parts(spark, sf_dir)
@@ -222,7 +235,11 @@ def rp_cholesky(spark, sf_dir):
     return _picked(solvers.RPCholesky(3, K.SquaredExponential(0.5, 1.0), seed=None).reduce(parts(spark, sf_dir)))
 
 
-_U = "(('0x' || substr(md5('7-' || i), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+def _uniform_sql(seed: int) -> str:
+    return f"(('0x' || substr(md5('{seed}-' || i), 1, 8))::BIGINT / 4294967296.0::DOUBLE)"
+
+
+_U = _uniform_sql(7)
 
 
 @query("random_sample", f"WITH p AS ({E}), s AS (SELECT i, row_number() OVER (ORDER BY {_U}, i) - 1 AS pos FROM p) SELECT CAST(pos AS INT) AS pos, i AS id FROM s WHERE pos < 20")
@@ -290,6 +307,12 @@ def herding_refine(spark, sf_dir):
     return _picked(solver.refine(solver.reduce(p)))
 
 
+@query("herding_iterative_greedy", _greedy_sql(E, SE.sql(*D), "k.mean - q.pen / {n}", 5, "DESC", refined=True))
+def herding_iterative_greedy(spark, sf_dir):
+    """Two rounds without chance: the second refines the first."""
+    return _picked(solvers.IterativeKernelHerding(5, SE, iterations=2).reduce(embeddings(spark, sf_dir)))
+
+
 # what follows without SQL has no such form; tests hold it against goldens and invariants
 @query("herding_iterative")
 def herding_iterative(spark, sf_dir):
@@ -333,13 +356,18 @@ def greedy_kernel_points(spark, sf_dir):
 
 
 # two places of greedy kernel points: ridge systems of one and two equations
-_G = f"WITH p AS MATERIALIZED ({_L}), k AS MATERIALIZED (SELECT a.i, b.i AS j, a.y AS ya, b.y AS yb, {SE.sql(*D)} AS k FROM p a, p b)"
-_PAIR_SQL = _G + """, one AS (SELECT j, sum(k * k) * pow(any_value(yb) / (1 + 1e-6), 2) - 2 * sum(k * ya) * any_value(yb) / (1 + 1e-6) AS loss FROM k GROUP BY j),
-c0 AS MATERIALIZED (SELECT j FROM one ORDER BY loss, j LIMIT 1),
-f AS MATERIALIZED (SELECT i, k AS k0, yb AS y0 FROM k WHERE j = (SELECT j FROM c0)),
-g AS (SELECT k.j, ((1 + 1e-6) * f.y0 - h.k0 * k.yb) / (pow(1 + 1e-6, 2) - h.k0 * h.k0) AS a0, ((1 + 1e-6) * k.yb - h.k0 * f.y0) / (pow(1 + 1e-6, 2) - h.k0 * h.k0) AS a1, f.k0, k.k, k.ya FROM k JOIN f ON f.i = k.i JOIN f h ON h.i = k.j WHERE k.j <> (SELECT j FROM c0)),
-two AS (SELECT j, sum(pow(a0 * k0 + a1 * k, 2) - 2 * (a0 * k0 + a1 * k) * ya) AS loss FROM g GROUP BY j),
-c1 AS (SELECT j FROM two ORDER BY loss, j LIMIT 1) SELECT 0 AS pos, j AS id FROM c0 UNION ALL SELECT 1, j FROM c1"""
+def _beside(name: str, kept: str) -> str:
+    """The point that is best together with the kept one."""
+    return f"""{name} AS MATERIALIZED (WITH f AS (SELECT i, k AS k0, yb AS y0 FROM k WHERE j = (SELECT j FROM {kept})),
+g AS (SELECT k.j, ((1 + 1e-6) * f.y0 - h.k0 * k.yb) / (pow(1 + 1e-6, 2) - h.k0 * h.k0) AS a0, ((1 + 1e-6) * k.yb - h.k0 * f.y0) / (pow(1 + 1e-6, 2) - h.k0 * h.k0) AS a1, f.k0, k.k, k.ya FROM k JOIN f ON f.i = k.i JOIN f h ON h.i = k.j WHERE k.j <> (SELECT j FROM {kept}))
+SELECT j FROM (SELECT j, sum(pow(a0 * k0 + a1 * k, 2) - 2 * (a0 * k0 + a1 * k) * ya) AS loss FROM g GROUP BY j) ORDER BY loss, j LIMIT 1)"""
+
+
+_FIRST = f"""WITH p AS MATERIALIZED ({_L}), k AS MATERIALIZED (SELECT a.i, b.i AS j, a.y AS ya, b.y AS yb, {SE.sql(*D)} AS k FROM p a, p b),
+one AS (SELECT j, sum(k * k) * pow(any_value(yb) / (1 + 1e-6), 2) - 2 * sum(k * ya) * any_value(yb) / (1 + 1e-6) AS loss FROM k GROUP BY j),
+c0 AS MATERIALIZED (SELECT j FROM one ORDER BY loss, j LIMIT 1), """
+_PAIR_SQL = _FIRST + _beside("c1", "c0") + " SELECT 0 AS pos, j AS id FROM c0 UNION ALL SELECT 1, j FROM c1"
+_REFINED_SQL = _FIRST + ", ".join((_beside("c1", "c0"), _beside("r0", "c1"), _beside("r1", "r0"))) + " SELECT 0 AS pos, j AS id FROM r0 UNION ALL SELECT 1, j FROM r1"
 
 
 @query("greedy_kernel_points_pair", _PAIR_SQL)
@@ -347,6 +375,12 @@ def greedy_kernel_points_pair(spark, sf_dir):
     return _picked(solvers.GreedyKernelPoints(2, SE).reduce(embeddings(spark, sf_dir, y="label")))
 
 
+@query("greedy_kernel_points_pair_refined", _REFINED_SQL)
+def greedy_kernel_points_pair_refined(spark, sf_dir):
+    solver, p = solvers.GreedyKernelPoints(2, SE), embeddings(spark, sf_dir, y="label")
+    return _picked(solver.refine(solver.reduce(p)))
+
+
 @query("greedy_kernel_points_refine")
 def greedy_kernel_points_refine(spark, sf_dir):
     solver, p = solvers.GreedyKernelPoints(4, SE), embeddings(spark, sf_dir, y="label")
@@ -411,15 +445,45 @@ def amcmd(spark, sf_dir):
     return _one(spark, value=metrics.amcmd(a, b, SE, SE, 1e-3))
 
 
-def _approximate(kind):
+# a linear feature kernel of one coordinate: its systems are the identity and one direction, so their inverses are written down
+@query("amcmd_linear", f"""WITH p AS (SELECT s_suppkey % 2 AS h, s_acctbal / 5000.0::DOUBLE AS x, s_nationkey::DOUBLE AS y FROM supplier), s AS (SELECT h, sum(x * x) AS s, count(*) AS n FROM p GROUP BY h),
+v AS (SELECT h, x / (1e-3 + s) AS v, y FROM p JOIN s USING (h)), t AS (SELECT sum(CASE WHEN a.h = b.h THEN 1 ELSE -1 END * a.v * b.v * {SE.sql('abs(a.y - b.y)', '0', '0')}) AS t FROM v a, v b)
+SELECT round(sqrt(greatest(0, s / n * t)), 6) AS value FROM s, t WHERE h = 0""")
+def amcmd_linear(spark, sf_dir):
+    a, b = (suppliers(spark, sf_dir, f"s_suppkey % 2 = {i}", y="s_nationkey") for i in (0, 1))
+    return _one(spark, value=metrics.amcmd(a, b, K.Linear(1.0, 0.0), SE, 1e-3))
+
+
+def _two_marks(targets: str, train: str, marks: str) -> str:
+    """The regression on kernels to two landmarks c0 and c1, by its normal equations."""
+    return f"""WITH p AS MATERIALIZED ({E}), {marks}, f AS MATERIALIZED (SELECT a.i, max(CASE WHEN b.i = (SELECT i FROM c0) THEN {SE.sql(*D)} END) AS f0, max(CASE WHEN b.i = (SELECT i FROM c1) THEN {SE.sql(*D)} END) AS f1
+FROM p a JOIN p b ON b.i IN (SELECT i FROM c0 UNION ALL SELECT i FROM c1) GROUP BY a.i), train AS MATERIALIZED ({train}), t AS ({targets}),
+n AS (SELECT sum(f0 * f0) AS g00, sum(f0 * f1) AS g01, sum(f1 * f1) AS g11, sum(f0 * t) AS b0, sum(f1 * t) AS b1 FROM f JOIN t USING (i))
+SELECT i AS id, round((f0 * (g11 * b0 - g01 * b1) + f1 * (g00 * b1 - g01 * b0)) / (g00 * g11 - g01 * g01), 6) AS mean FROM f, n"""
+
+
+def _hashed(seed: int, size: int, skip: int = 0) -> str:
+    return f"SELECT i FROM p ORDER BY {_uniform_sql(seed)}, i LIMIT {size} OFFSET {skip}"
+
+
+_FULL = f"SELECT a.i, sum(b.w * {SE.sql(*D)}) / sum(b.w) AS t FROM p a JOIN train USING (i), p b GROUP BY a.i"
+_OWN = f"SELECT a.i, avg({SE.sql(*D)}) AS t FROM p a JOIN train USING (i), p b WHERE b.i IN (SELECT i FROM train) GROUP BY a.i"
+_DRAWN = f"c0 AS MATERIALIZED ({_hashed(0, 1)}), c1 AS MATERIALIZED ({_hashed(0, 1, 1)})"
+_APART = f"c0 AS MATERIALIZED (SELECT min(i) AS i FROM p), c1 AS MATERIALIZED (SELECT b.i FROM p a, p b WHERE a.i = (SELECT i FROM c0) AND b.i <> a.i ORDER BY {SE.sql(*D)}, b.i LIMIT 1)"
+
+
+def _approximate(kind, marks: int = 100):
     def run(spark, sf_dir):
-        return kind(SE, 100, 200).gramian_row_mean(embeddings(spark, sf_dir)).select(F.col("_idx").alias("id"), F.round("mean", 6).alias("mean"))
+        return kind(SE, marks, 200).gramian_row_mean(embeddings(spark, sf_dir)).select(F.col("_idx").alias("id"), F.round("mean", 6).alias("mean"))
 
     return run
 
 
 for _kind in (approx.MonteCarlo, approx.ANNchor, approx.Nystrom):
     query(f"approximate_{_kind.__name__.lower()}")(_approximate(_kind))
+query("approximate_montecarlo_pair", _two_marks(_FULL, _hashed(1, 200), _DRAWN))(_approximate(approx.MonteCarlo, 2))
+query("approximate_annchor_pair", _two_marks(_FULL, _hashed(1, 200), _APART))(_approximate(approx.ANNchor, 2))
+query("approximate_nystrom_pair", _two_marks(_OWN, _hashed(0, 2), _DRAWN))(_approximate(approx.Nystrom, 2))
 
 
 @query("sliced_score")
@@ -436,6 +500,30 @@ def randomised_eigen(spark, sf_dir):
     return spark.createDataFrame([(i, round(float(v), 6)) for i, v in enumerate(sorted(values, reverse=True)[:5])], "pos int, value double")
 
 
+# x x' + 1 has two eigenvalues, those of the 2 x 2 moments; its smallest solution lies in the span of x and 1
+_MOMENTS = "WITH p AS (SELECT s_suppkey AS i, s_acctbal / 5000.0::DOUBLE AS x, s_nationkey::DOUBLE AS y FROM supplier), m AS (SELECT sum(x * x) AS a, sum(x) AS b, count(*)::DOUBLE AS c, sum(x * y) AS u, sum(y) AS v FROM p)"
+
+
+@query("randomised_eigen_linear", _MOMENTS + " SELECT 0 AS pos, round((a + c + sqrt(pow(a - c, 2) + 4 * b * b)) / 2, 6) AS value FROM m UNION ALL SELECT 1, round((a + c - sqrt(pow(a - c, 2) + 4 * b * b)) / 2, 6) FROM m")
+def randomised_eigen_linear(spark, sf_dir):
+    x = suppliers(spark, sf_dir).local().x
+    values, _ = RandomisedEigen(oversampling=10).eigen(K.Linear(1.0, 1.0)(x, x))
+    return spark.createDataFrame([(i, round(float(v), 6)) for i, v in enumerate(sorted(values, reverse=True)[:2])], "pos int, value double")
+
+
+_INVERSE_TWICE = "(c * p0 - b * p1) / det AS q0, (a * p1 - b * p0) / det AS q1"
+
+
+@query("least_squares", _MOMENTS + f""", d AS (SELECT *, a * c - b * b AS det, (c * u - b * v) / (a * c - b * b) AS p0, (a * v - b * u) / (a * c - b * b) AS p1 FROM m), q AS (SELECT c, {_INVERSE_TWICE} FROM d)
+SELECT i AS id, round(c * (q0 * x + q1), 6) AS minimal, round(c * (q0 * x + q1), 6) AS randomised FROM p, q""")
+def least_squares(spark, sf_dir):
+    """The smallest solution of a system of rank two, by both solvers, times the number of rows."""
+    data = suppliers(spark, sf_dir, y="s_nationkey").local()
+    gram = K.Linear(1.0, 1.0)(data.x, data.x)
+    found = [len(data) * s.solve(gram, 0.0, data.y)[:, 0] for s in (MinimalNorm(1e-9), RandomisedEigen(oversampling=10, rcond=1e-9))]
+    return spark.createDataFrame([(int(i), round(float(a), 6), round(float(b), 6)) for i, a, b in zip(data.idx, *found, strict=True)], "id long, minimal double, randomised double")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Herding on the embeddings."""
     return herding(spark, sf_dir)

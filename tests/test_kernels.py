@@ -34,6 +34,18 @@ def test_symmetry_and_diagonal(kernel):
     assert np.allclose(kernel.diagonal(x), np.diag(kernel(x, x)))
 
 
+@pytest.mark.parametrize("kernel", SMOOTH, ids=str)
+@pytest.mark.parametrize("n", [0, 1, 70])
+def test_paired_values_are_those_of_all_pairs(kernel, n):
+    x, y = np.random.default_rng(4).normal(size=(2, n, 3))
+    at = np.arange(n)
+    assert np.allclose(kernel.elementwise(x, y), kernel(x, y)[at, at])
+    assert np.allclose(K.paired(kernel.grad_x, x, y), kernel.grad_x(x, y)[at, at])
+    assert np.allclose(K.paired(kernel.divergence, x, y), kernel.divergence(x, y)[at, at])
+    with pytest.raises(ValueError):
+        kernel.elementwise(x, np.zeros((n + 1, 3)))
+
+
 def test_square_root_kernel():
     root = K.SquaredExponential(1.5, 2.0).sqrt_kernel(1)
     z = np.linspace(-30, 30, 20001)[:, None]
