@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftlake.functions.kernels import Kernel, paired
-from siftlake.sources.points import Local, Points
+from siftlake.sources.points import Local, Points, matrix
 
 #: Bytes of one side that is broadcast at once; a larger side is taken in blocks.
 BLOCK_BYTES = 32 << 20
@@ -45,11 +45,6 @@ def blocks(y: Points, block_bytes: int = BLOCK_BYTES):
         yield count, Local.of(part.toArrow())
 
 
-def matrix(column) -> np.ndarray:
-    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
-
-
 def tiled(function, a: np.ndarray, b: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, ...]:
     """function(a, b, w) tile by tile: its results are one row for each of a, sums over b."""
     step = max(1, TILE_PAIRS // max(1, min(len(b), TILE_ROWS)))

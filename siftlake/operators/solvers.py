@@ -22,6 +22,8 @@ from siftlake.sources.tables import discard, written
 
 #: Pairs of points that one process evaluates by itself; more are dealt to the executors.
 LOCAL_PAIRS = 1 << 26
+#: Points that one process compresses by itself.
+LOCAL_COMPRESSED = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -317,8 +319,18 @@ class KernelThinning(Solver):
     seed: int = 0
     unique: bool = True
 
-    def choose(self, data):
-        return greedy.kernel_thinning(data.x, data.w, self.size, self.kernel, _root_kernel(self.kernel, self.sqrt_kernel, data.x.shape[1]), self.delta, self.seed, self.unique)
+    def choose(self, data, means=None):
+        return greedy.kernel_thinning(data.x, data.w, self.size, self.kernel, _root_kernel(self.kernel, self.sqrt_kernel, data.x.shape[1]), self.delta, self.seed, self.unique, means)
+
+    def reduce(self, p: Points) -> Coreset:
+        """The halvings follow each other in this process; kernel means of many points come from the executors."""
+        data = p.local()
+        greedy.check_size(len(data), int((data.w > 0).sum()), self.size, self.unique)
+        means = None
+        if len(data) ** 2 > LOCAL_PAIRS:
+            plain = Points(p.df.withColumn("w", F.lit(1.0)))
+            means = tuple(pairwise.row_mean(p, other, self.kernel).select("_idx", "mean").orderBy("_idx").toArrow()["mean"].to_numpy() for other in (plain, p))
+        return Coreset(_picks(p, data.idx[self.choose(data, means)]), p)
 
 
 @dataclass
@@ -331,8 +343,37 @@ class CompressPlusPlus(Solver):
     seed: int = 0
     unique: bool = True
 
-    def choose(self, data):
-        return greedy.compress(data.x, data.w, self.size, self.g, self.kernel, _root_kernel(self.kernel, self.sqrt_kernel, data.x.shape[1]), self.delta, self.seed)
+    def choose(self, data, depth: int = 0, nodes=None):
+        return greedy.compress(data.x, data.w, self.size, self.g, self.kernel, self._root(data), self.delta, self.seed, depth, nodes)
+
+    def _root(self, data):
+        return _root_kernel(self.kernel, self.sqrt_kernel, data.x.shape[1])
+
+    def reduce(self, p: Points) -> Coreset:
+        """Of many points the lower levels are reduced on the executors, a node in each task, and only the upper ones here; the choice is the same."""
+        data = p.local()
+        greedy.check_size(len(data), int((data.w > 0).sum()), self.size, self.unique)
+        if len(data) <= LOCAL_COMPRESSED:
+            return Coreset(_picks(p, data.idx[self.choose(data)]), p)
+        depth = max(1, math.ceil(math.log(p.df.sparkSession.sparkContext.defaultParallelism, 4)))
+        return Coreset(_picks(p, data.idx[self.choose(data, depth, self._nodes(data, p))]), p)
+
+    def _nodes(self, data: Local, p: Points):
+        spark, d, g, root, seed = p.df.sparkSession, data.x.shape[1], self.g, self._root(data), self.seed
+
+        def nodes(parts, first, delta):
+            def run(batches):
+                for batch in batches:
+                    for path, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                        left = greedy.halved(np.frombuffer(x).reshape(-1, d), g, root, delta, seed, path)
+                        yield pa.RecordBatch.from_arrays([pa.array([path]), pa.array([left.tobytes()], pa.binary())], ["path", "left"])
+
+            rows = pa.table({"path": pa.array(range(first, first + len(parts)), pa.int64()), "x": pa.array([np.ascontiguousarray(x).tobytes() for x in parts], pa.binary())})
+            sent = spark.createDataFrame(rows).repartitionByRange(len(parts), "path")
+            found = {r.path: np.frombuffer(r.left, np.int64) for r in sent.mapInArrow(run, "path long, left binary").collect()}
+            return [found[first + i] for i in range(len(parts))]
+
+        return nodes
 
 
 @dataclass

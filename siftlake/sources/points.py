@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +13,14 @@ from pyspark.sql import functions as F
 LOCAL_BYTES = 256 << 20
 
 
+def matrix(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """The vectors of an Arrow column as rows of numbers; null coordinates are NaN, null vectors are refused."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if column.null_count:
+        raise ValueError(f"{column.null_count} of {len(column)} vectors are null")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+
 @dataclass(frozen=True)
 class Points:
     """A DataFrame of points; _idx is a key of the data, so it is the same at every run."""
@@ -62,11 +71,9 @@ class Local:
 
     @classmethod
     def of(cls, table) -> Local:
-        def matrix(name):
-            values = table[name].to_pylist()
-            return np.array(values, float).reshape(len(values), -1)
-
-        return cls(np.array(table["_idx"].to_pylist()), matrix("x"), np.array(table["w"].to_pylist(), float), matrix("y") if "y" in table.column_names else None)
+        idx = table["_idx"]
+        numbers = pa.types.is_integer(idx.type) and not idx.null_count
+        return cls(idx.to_numpy() if numbers else np.array(idx.to_pylist()), matrix(table["x"]), np.array(table["w"].to_pylist(), float), matrix(table["y"]) if "y" in table.column_names else None)
 
     @classmethod
     def make(cls, x, w=None, y=None) -> Local:

@@ -222,7 +222,11 @@ def test_many_points_are_evaluated_on_executors(spark, monkeypatch):
     some = [solvers.KernelHerding(6, SE), solvers.SteinThinning(6, K.PCIMQ()), solvers.GreedyKernelPoints(4, SE), solvers.IterativeKernelHerding(6, SE, iterations=2)]
     few = [s.reduce(p) for s in some]
     again = [s.refine(c).indices() for s, c in zip(some[:3], few, strict=False)]
+    thinned = [solvers.KernelThinning(6, SE), *(solvers.CompressPlusPlus(g, 6, SE) for g in (1, 3))]
+    kept = [s.reduce(p).indices() for s in thinned]
     monkeypatch.setattr(solvers, "LOCAL_PAIRS", 10)
+    monkeypatch.setattr(solvers, "LOCAL_COMPRESSED", 10)
+    assert [s.reduce(p).indices() for s in thinned] == kept
     assert [s.reduce(p).indices() for s in some] == [c.indices() for c in few]
     assert [s.refine(c).indices() for s, c in zip(some[:3], few, strict=False)] == again
 
