@@ -31,6 +31,7 @@ def mmd(kernel):
 EVERY = np.arange(240)
 WANT = {
     "kernel_mean_all": lambda: mean(EVERY, EVERY, SE),
+    "stein_kernel_mean": lambda: rows(STEIN),
     "ksd": lambda: np.sqrt(mean(EVERY, EVERY, STEIN)),
     "mmd_weighted": lambda: mmd(catalog.PCIMQ),
     "kernel_mean_weighted": lambda: rows(MATERN),
