@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 from siftlake.functions import kernels as K
-from siftlake.operators import pairwise
+from siftlake.functions import linalg
+from siftlake.operators import metrics, pairwise, recombine
 from siftlake.plans import catalog
 from siftlake.sources.points import from_arrays
 
@@ -60,3 +61,18 @@ def test_equal_points_are_evaluated_once(spark, monkeypatch, name):
     got = [r[column] for r in (got.orderBy("id") if "id" in got.columns else got).collect()]
     assert np.allclose(got, WANT[name](), atol=1e-6)
     assert max(sides) <= 12
+
+
+@pytest.mark.parametrize("collected", [1 << 20, 1])
+@pytest.mark.parametrize("kind", ["plain", "repeated", "even", "equal"])
+def test_median_of_all_pairs_of_many_points(spark, monkeypatch, kind, collected):
+    rng = np.random.default_rng(35)
+    x = {"plain": rng.normal(size=(301, 2)), "repeated": rng.integers(0, 3, (300, 2)), "even": rng.normal(size=(4, 1)), "equal": np.ones((50, 1))}[kind].astype(float)
+    s = K.sq_dist(x, x)[np.triu_indices(len(x), 1)]
+    p = from_arrays(spark, x)
+    assert pairwise.median_distance(p, 16, collected) == np.median(s)
+    assert pairwise.median_heuristic(p, x.shape[1], 3).first().length_scale == np.sqrt(np.median(s) / 2)
+    if kind == "plain":
+        many = from_arrays(spark, rng.normal(size=(5001, 1)))
+        monkeypatch.setattr(catalog, "suppliers", lambda *_: many)
+        assert 0.6 < catalog.median_heuristic(spark, "").first().length_scale < 0.8
