@@ -7,6 +7,10 @@ import numpy as np
 from siftlake.functions.linalg import cutoff
 
 
+#: Points that are recombined by one table of null directions, and how many of more points are added at a time.
+ALL_AT_ONCE, RUN = 1024, 256
+
+
 def _null_basis(a: np.ndarray, rcond: float | None) -> np.ndarray:
     """Rows b with b @ a = 0, for n x q values a."""
     u, s, _ = np.linalg.svd(a, full_matrices=True)
@@ -18,7 +22,21 @@ def caratheodory(values: np.ndarray, w: np.ndarray, rcond: float | None = None)
     """Weights of a vertex of {v >= 0: sum v = sum w, v @ values = w @ values}; zeros stay zero.
 
     Each step moves along a null direction until a weight is zero, and takes that point out of the other directions.
+    Many points are added run by run to those that are left, so no table of null directions is large.
     """
+    out, own = np.zeros(len(w)), np.flatnonzero(w > 0)
+    if len(own) > ALL_AT_ONCE:
+        left, v, run = own[:0], w.astype(float), max(RUN, 4 * (values.shape[1] + 1))
+        for lo in range(0, len(own), run):
+            some = np.concatenate((left, own[lo : lo + run]))
+            v[some] = _vertex(values[some], v[some], rcond)
+            left = some[v[some] > 0]
+        out[left] = v[left]
+        return out
+    return _vertex(values, w, rcond)
+
+
+def _vertex(values: np.ndarray, w: np.ndarray, rcond: float | None) -> np.ndarray:
     out, own = np.zeros(len(w)), np.flatnonzero(w > 0)
     v = w[own].astype(float)
     basis = _null_basis(np.column_stack((np.ones(len(own)), values[own])), rcond)[::-1].copy()

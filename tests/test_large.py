@@ -76,3 +76,14 @@ def test_median_of_all_pairs_of_many_points(spark, monkeypatch, kind, collected)
         many = from_arrays(spark, rng.normal(size=(5001, 1)))
         monkeypatch.setattr(catalog, "suppliers", lambda *_: many)
         assert 0.6 < catalog.median_heuristic(spark, "").first().length_scale < 0.8
+
+
+def test_caratheodory_of_many_points(spark, monkeypatch):
+    """Twenty thousand points: a table of all their null directions would have 3 GB."""
+    rng = np.random.default_rng(36)
+    x, w = rng.normal(size=(20_000, 1)), rng.uniform(size=20_000) * (rng.uniform(size=20_000) < 0.9)
+    made, plain = [], recombine._null_basis
+    monkeypatch.setattr(recombine, "_null_basis", lambda a, rcond: made.append(len(a)) or plain(a, rcond))
+    got = recombine.caratheodory(x, w)
+    assert max(made) <= 1024 and (got > 0).sum() <= 2 and (got >= 0).all() and not got[w == 0].any()
+    assert np.isclose(got.sum(), w.sum()) and np.isclose(got @ x[:, 0], w @ x[:, 0])
