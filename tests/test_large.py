@@ -87,3 +87,14 @@ def test_caratheodory_of_many_points(spark, monkeypatch):
     got = recombine.caratheodory(x, w)
     assert max(made) <= 1024 and (got > 0).sum() <= 2 and (got >= 0).all() and not got[w == 0].any()
     assert np.isclose(got.sum(), w.sum()) and np.isclose(got @ x[:, 0], w @ x[:, 0])
+
+
+def test_conditional_means_by_features(spark):
+    """Of a linear kernel the solves are as small as its vectors."""
+    rng = np.random.default_rng(34)
+    a, b = (from_arrays(spark, rng.normal(size=(n, 1)), None, rng.integers(0, 4, n)) for n in (60, 50))
+    for reg in (1e-3, 0):
+        want = metrics.amcmd(a, b, K.Linear(1.0, 0.0), SE, reg)
+        assert metrics.amcmd(a, b, K.Linear(1.0, 0.0), SE, reg, limit=40) == pytest.approx(want, rel=1e-6)
+    many = from_arrays(spark, rng.normal(size=(5100, 1)), None, rng.integers(0, 4, 5100))
+    assert metrics.amcmd(many, b, K.Linear(1.0, 0.0), SE, 1e-3) > 0
