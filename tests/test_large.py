@@ -5,7 +5,7 @@ import pytest
 
 from siftlake.functions import kernels as K
 from siftlake.functions import linalg
-from siftlake.operators import metrics, pairwise, recombine
+from siftlake.operators import greedy, metrics, pairwise, recombine, solvers
 from siftlake.plans import catalog
 from siftlake.sources.points import from_arrays
 
@@ -127,3 +127,17 @@ def test_eigenvalues_without_a_table(spark, monkeypatch, name):
     got = [r.value for r in catalog.QUERIES[name](spark, "").collect()]
     assert np.allclose(got, want, atol=2e-6)
     assert isinstance(pairwise.gram(spark, p.local().x, SE), linalg.Gram)
+
+
+@pytest.mark.parametrize("bytes_", [1 << 28, 1000])
+def test_conditional_means_of_many_points(spark, monkeypatch, bytes_):
+    """Solves for the different responses, in one process or on executors, are the dense ones."""
+    rng = np.random.default_rng(33)
+    a, b = (from_arrays(spark, rng.normal(size=(n, 3)), None, rng.integers(0, 4, n)) for n in (60, 50))
+    want = metrics.amcmd(a, b, SE, SE, 1e-3)
+    monkeypatch.setattr(metrics, "LOCAL_BYTES", bytes_ if bytes_ > 1000 else 60 * 4 * 8)
+    assert metrics.amcmd(a, b, SE, SE, 1e-3, limit=40) == pytest.approx(want, rel=1e-8)
+    monkeypatch.setattr(catalog, "embeddings", lambda spark, sf_dir, where, y: [big, small]["1" in where.split("=")[1]])
+    big, small = (from_arrays(spark, rng.normal(size=(n, 2)), None, rng.integers(0, 4, n)) for n in (5100, 30))
+    if bytes_ > 1000:
+        assert catalog.amcmd(spark, "").first().value > 0
