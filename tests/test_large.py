@@ -179,7 +179,7 @@ def test_halving_in_runs(spark, monkeypatch, n):
     assert greedy.kt_half(x, SE, 0.3, draws)[0].tolist() == _halves(x, SE, 0.3, draws)
 
 
-@pytest.mark.parametrize("name", ["stein_thinning_regularised"])
+@pytest.mark.parametrize("name", ["stein_thinning_regularised", "herding_weighted"])
 def test_greedy_choice_evaluates_equal_points_once(spark, monkeypatch, name):
     """The same choice, of equal points the first; 12 different of 240 are evaluated."""
     p, seen = from_arrays(spark, REPEATED, np.tile(W[:12], 20)), []
