@@ -194,3 +194,17 @@ def test_greedy_choice_evaluates_equal_points_once(spark, monkeypatch, name):
     assert seen and max(seen) <= 12
     kept = score.KdeScore(REPEATED, 1.0)
     assert len(kept.x) == 12 and np.allclose(kept(X), score.KdeScore(X, 1.0)(X))
+
+
+def test_landmarks_of_equal_orders(spark, monkeypatch):
+    """Copies with other keys on both sides: only different numbers meet, and every key has its row."""
+    rng = np.random.default_rng(41)
+    tables = {"orders": (rng.uniform(1e3, 5e5, 9), "o_orderkey long, o_totalprice double"), "supplier": (rng.uniform(-1e3, 1e4, 5), "s_suppkey long, s_acctbal double")}
+    monkeypatch.setattr(catalog, "_read", lambda spark, sf_dir, name: spark.createDataFrame([(i, float(v)) for i, v in enumerate(np.tile(tables[name][0], 30))], tables[name][1]))
+    monkeypatch.setattr(pairwise, "MERGED_PAIRS", 10)
+    sides, plain = [], pairwise.weighted_sums
+    monkeypatch.setattr(pairwise, "weighted_sums", lambda x, y, *more: sides.append((x.count(), y.count())) or plain(x, y, *more))
+    got = catalog.kernel_mean_landmarks(spark, "").orderBy("id").collect()
+    want = catalog.PCIMQ(tables["orders"][0][:, None] / 1e5, tables["supplier"][0][:, None] / 5e3).mean(1)
+    assert [r.id for r in got] == list(range(270)) and np.allclose([r.mean for r in got], np.tile(want, 30), atol=1e-6)
+    assert sides == [(9, 5)]
