@@ -208,3 +208,15 @@ def test_landmarks_of_equal_orders(spark, monkeypatch):
     want = catalog.PCIMQ(tables["orders"][0][:, None] / 1e5, tables["supplier"][0][:, None] / 5e3).mean(1)
     assert [r.id for r in got] == list(range(270)) and np.allclose([r.mean for r in got], np.tile(want, 30), atol=1e-6)
     assert sides == [(9, 5)]
+
+
+def test_thinning_takes_large_sums_from_executors(spark, monkeypatch):
+    x = np.random.default_rng(40).normal(size=(300, 3))
+    p, made, plain = from_arrays(spark, x), [], pairwise.products
+    want = solvers.KernelThinning(6, SE).reduce(p).indices()
+    monkeypatch.setattr(pairwise, "products", lambda spark, *a: made.append(len(a[0])) or plain(spark, *a))
+    for module, name, value in ((solvers, "LOCAL_PAIRS", 10), (greedy, "LATER_PAIRS", 10_000), (greedy, "HALVED", 64)):
+        monkeypatch.setattr(module, name, value)
+    monkeypatch.setattr(catalog, "embeddings", lambda *_: p)
+    assert solvers.KernelThinning(6, SE).reduce(p).indices() == want
+    assert made[0] == 300 and 192 - 64 in made
