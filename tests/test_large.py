@@ -271,3 +271,18 @@ def test_landmarks_of_different_orders(spark, monkeypatch):
     got = catalog.kernel_mean_landmarks(spark, "").orderBy("id").collect()
     assert [r.id for r in got] == list(range(4000))
     assert np.allclose([r.mean for r in got], catalog.PCIMQ(price[:, None] / 1e5, balance[:, None] / 5e3).mean(1), atol=6e-7)
+
+
+def _different_parts(monkeypatch, spark, n=9000):
+    """Parts, all different; kernels of pairs come from nodes alone."""
+    rng = np.random.default_rng(45)
+    x, w = np.column_stack((rng.integers(1, 51, n) / 50, rng.uniform(0.9, 1.0, n))), rng.integers(1, 51, n).astype(float)
+    p = from_arrays(spark, x, w)
+    monkeypatch.setattr(catalog, "parts", lambda spark, sf_dir, where="true": p if where == "true" else type(p)(p.df.where(where.replace("p_partkey", "_idx"))))
+    monkeypatch.setattr(pairwise, "weighted_sums", None)
+    return x, w
+
+
+def test_stein_discrepancy_of_different_parts(spark, monkeypatch):
+    x, w = _different_parts(monkeypatch, spark)
+    assert catalog.ksd(spark, "").first().value == pytest.approx(np.sqrt(w @ STEIN(x, x) @ w) / w.sum(), abs=1e-6)
