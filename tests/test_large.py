@@ -286,3 +286,9 @@ def _different_parts(monkeypatch, spark, n=9000):
 def test_stein_discrepancy_of_different_parts(spark, monkeypatch):
     x, w = _different_parts(monkeypatch, spark)
     assert catalog.ksd(spark, "").first().value == pytest.approx(np.sqrt(w @ STEIN(x, x) @ w) / w.sum(), abs=1e-6)
+
+
+def test_stein_kernel_means_of_different_parts(spark, monkeypatch):
+    x, w = _different_parts(monkeypatch, spark)
+    got = catalog.stein_kernel_mean(spark, "").orderBy("id").collect()
+    assert np.allclose([r.mean for r in got], STEIN(x, x) @ w / w.sum(), atol=6e-7) and len(got) == 9000
