@@ -292,3 +292,10 @@ def test_stein_kernel_means_of_different_parts(spark, monkeypatch):
     x, w = _different_parts(monkeypatch, spark)
     got = catalog.stein_kernel_mean(spark, "").orderBy("id").collect()
     assert np.allclose([r.mean for r in got], STEIN(x, x) @ w / w.sum(), atol=6e-7) and len(got) == 9000
+
+
+def test_discrepancy_of_different_parts(spark, monkeypatch):
+    x, w = _different_parts(monkeypatch, spark, 17_000)
+    a = np.arange(17_000) % 3 == 0
+    v = np.where(a, w / w[a].sum(), -w / w[~a].sum())
+    assert catalog.mmd_weighted(spark, "").first().value == pytest.approx(np.sqrt(v @ greedy.tiled_product(catalog.PCIMQ, x, x, v)), abs=1e-6)
