@@ -299,3 +299,9 @@ def test_discrepancy_of_different_parts(spark, monkeypatch):
     a = np.arange(17_000) % 3 == 0
     v = np.where(a, w / w[a].sum(), -w / w[~a].sum())
     assert catalog.mmd_weighted(spark, "").first().value == pytest.approx(np.sqrt(v @ greedy.tiled_product(catalog.PCIMQ, x, x, v)), abs=1e-6)
+
+
+def test_herding_of_different_parts(spark, monkeypatch):
+    x, w = _different_parts(monkeypatch, spark)
+    kernel = K.SquaredExponential(0.5, 1.0)
+    assert [r.id for r in catalog.herding_weighted(spark, "").orderBy("pos").collect()] == greedy.herding(x, w, 5, kernel).tolist()
