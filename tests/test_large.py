@@ -295,8 +295,8 @@ def test_stein_kernel_means_of_different_parts(spark, monkeypatch):
 
 
 def test_discrepancy_of_different_parts(spark, monkeypatch):
-    x, w = _different_parts(monkeypatch, spark, 17_000)
-    a = np.arange(17_000) % 3 == 0
+    x, w = _different_parts(monkeypatch, spark, 24_000)
+    a = np.arange(24_000) % 3 == 0
     v = np.where(a, w / w[a].sum(), -w / w[~a].sum())
     assert catalog.mmd_weighted(spark, "").first().value == pytest.approx(np.sqrt(v @ greedy.tiled_product(catalog.PCIMQ, x, x, v)), abs=1e-6)
 
